@@ -203,8 +203,8 @@ def container_scores(page: Page) -> dict[int, float]:
         weight = (len(text) - in_links) * (0.3 if tag in ("li", "td", "th", "dt", "dd") else 1.0)
         at = node if tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "dd", "dt") else nodes[node].parent
         share = 1.0
-        while at > 0:
-            if nodes[at].tag in BLOCK:
+        while at >= 0:
+            if not at or nodes[at].tag in BLOCK:  # 0 is the page itself, for text outside any element
                 gained[at] = gained.get(at, 0.0) + weight * share
                 share *= 0.75
             sizes[at] = sizes.get(at, 0) + len(text)
@@ -228,6 +228,8 @@ def page_votes(page: Page) -> list[tuple[str, float]]:
     """Per generalised path of the page, its best containers' score as a share of the page's best."""
     best: dict[str, float] = {}
     for at, score in container_scores(page).items():
+        if not at:
+            continue
         best[page.nodes[at].path] = best.get(page.nodes[at].path, 0.0) + score
     top = max(best.values(), default=0.0)
     return [(path, score / top) for path, score in sorted(best.items()) if top > 0]
