@@ -140,11 +140,12 @@ def allocate(costs: list[np.ndarray], distance: int) -> tuple[float, list[int]]:
 
 def plan(together: np.ndarray, n: int, distance: int = DISTANCE) -> list[Partition]:
     """Of all numbers of partitions the cheapest, by estimated candidates and probes."""
-    p = np.diag(together) / max(n, 1)
+    n = max(n, 1)
+    p = np.diag(together) / n
     differ = 2 * p * (1 - p)
     choices = []
     for parts in range(1, distance + 2):
-        groups = group_bits(together, max(n, 1), parts)
+        groups = group_bits(together, n, parts)
         costs = []
         for bits in groups:
             near = within(differ[list(bits)])
@@ -253,8 +254,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is its group's smallest. A group whose documents all
-    lack a doc_id stays whole: they can't be told apart."""
+    """The rows of docs, with all columns, whose doc_id is its group's smallest. Rows without a doc_id can't be
+    told apart: they all stay if a group has no others, else none does."""
     found = near_duplicates(docs, distance)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
