@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelog.session import reach_workers
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _own_dir: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; any path that Spark's readers open will do."""
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +46,7 @@ class Scratch:
     when the interpreter ends."""
 
     def __init__(self, spark: SparkSession, label: str):
+        reach_workers(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/pagelog-{label}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
@@ -62,6 +66,7 @@ class Scratch:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """mapInArrow by a function of one batch."""
+    reach_workers(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
