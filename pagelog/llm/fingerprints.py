@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagelog.llm.common import own_columns
+from pagelog.llm.words import strides
 
 WINDOW = 32
 #: Rows for each range of doc_ids, and the most ranges.
@@ -160,7 +161,8 @@ def fingerprint_documents(docs: DataFrame, chunking: Chunking = Chunking(), rows
     Next is by ascending doc_id, a null id before all others, equal ids by text; after the last comes the
     first. A null text counts as empty; further columns are ignored; an only row follows itself.
     The rows are dealt by ranges of doc_id, the text moves once; the first row of each range also goes
-    to the range before. A task reads its ranges in order and holds one Arrow batch.
+    to the range before. A task reads its ranges in order and holds one Arrow batch; some
+    megabytes of it are chunked at a time.
     """
     least = -(2**63)
     given = own_columns(docs, "doc_id", "text")
@@ -200,8 +202,8 @@ def fingerprint_documents(docs: DataFrame, chunking: Chunking = Chunking(), rows
                 if last is not None and last[2] == row[2] and not last[3]:
                     pairs.append((last[0], last[1], row[1]))
                 last = row
-            if pairs:
-                yield _fingerprints(pairs, chunking)
+            for a, b in strides([len(t) + len(f) for _, t, f in pairs]):
+                yield _fingerprints(pairs[a:b], chunking)
 
     return ordered.mapInArrow(run, SCHEMA)
 
