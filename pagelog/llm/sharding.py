@@ -10,6 +10,7 @@ never read; vacuum() deletes them and those that only old versions name.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
@@ -70,8 +71,9 @@ class Conflict(RuntimeError):
 class ShardStore:
     """A folder with data/ and manifests/. Any Hadoop file system whose create() can refuse to overwrite will do."""
 
-    def __init__(self, spark: SparkSession, root: str, tiers: Tiers = Tiers(), jobs_runs: int = 64):
-        self.spark, self.root, self.tiers, self.jobs_runs = spark, root.rstrip("/"), tiers, jobs_runs
+    def __init__(self, spark: SparkSession, root: str, tiers: Tiers = Tiers(), jobs_runs: int = 64, lock_seconds: int = 600):
+        """lock_seconds: a version that was locked so long ago and has no manifest was a writer's that died."""
+        self.spark, self.root, self.tiers, self.jobs_runs, self.lock_seconds = spark, root.rstrip("/"), tiers, jobs_runs, lock_seconds
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -112,6 +114,9 @@ class ShardStore:
         out.close()
         # the lock file is created exclusively; the rename then makes the whole content appear at once
         lock = self._path(f"manifests/{version:020d}.lock")
+        if self._fs.exists(lock) and not self._fs.exists(final):
+            if time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 >= self.lock_seconds:
+                self._fs.delete(lock, False)
         try:
             self._fs.create(lock, False).close()
         except Exception as e:
@@ -209,6 +214,7 @@ class ShardStore:
                     self._fs.delete(f, False)
         for v in versions[:-keep_versions]:
             self._fs.delete(self._path(f"manifests/{v:020d}.json"), False)
+            self._fs.delete(self._path(f"manifests/{v:020d}.lock"), False)
         return dropped
 
 
