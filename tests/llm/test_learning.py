@@ -99,6 +99,14 @@ def test_word_tables():
     assert list(words.strides([])) == []
 
 
+def test_threshold():
+    logits = np.array([3.0, 2.0, 0.0, -1.0])
+    assert toxicity.best_threshold(logits, np.array([1, 1, 0, 0])) == 1.0
+    # equal logits can't be parted, even if that would be best
+    assert toxicity.best_threshold(np.zeros(4), np.array([1, 0, 0, 0])) == 1.0
+    assert toxicity.best_threshold(np.array([1.0, 1.0, 0.0]), np.array([1, 0, 0])) == 0.5
+
+
 def toxic_rows(n, seed):
     rnd = random.Random(seed)
     common = {"en": "the of and to in is that it was for on are".split(), "de": "der die das und in von zu mit sich des ist im".split()}
