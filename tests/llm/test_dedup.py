@@ -254,3 +254,46 @@ def test_inconsistent_slots(spark):
     rules = decontaminate.Rules(window=14)
     d = spark.createDataFrame([(1, same), (2, other)], "doc_id long, text string")
     assert [r["doc_id"] for r in decontaminate.contaminated(d, b, rules).collect()] == [1]
+
+
+# -- near copies in the pipeline
+
+
+def test_near_copies(spark):
+    """Copies with a few edited words, one large group of them among them, and texts that share too little."""
+    import corpus_pipeline
+    from pagelog.llm import nearcopies
+
+    rnd = random.Random(5)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, k = [], 0
+    for group in range(30):
+        base = text(200)
+        for j in range(60 if group == 0 else 3):
+            words = list(base)
+            for at in rnd.sample(range(200), rnd.randint(1, 3) if j else 0):
+                words[at] = f"edit{rnd.randrange(10**6)}"
+            rows.append((k, " ".join(words)))
+            k += 1
+        rows.append((k, " ".join(base[:120] + text(80))))  # half of it is other text
+        k += 1
+    rows += [(k, None), (k + 1, ""), (k + 2, "two words"), (k + 3, "Two words"), (k + 3, "two words"), (None, "nobody's own")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, node string")
+    sets = [set(zip(*[(t or "").lower().split()[j:] for j in range(5)], strict=False)) or {tuple((t or "").lower().split())} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    expected = sorted((str(i), str(rows[find(j)][0])) for j, (i, _) in enumerate(rows))
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in nearcopies.near_copies(df).collect()) == expected
+    kept = dict(corpus_pipeline.STAGES)["near copies"](spark, df, SF)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(i for i, c in expected if i == c)
+    assert nearcopies.near_copies(df.where("false")).count() == 0
