@@ -156,6 +156,15 @@ def test_score_query(spark):
     assert toxicity.score_toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_overlong_training_text(spark):
+    """A labelled text beyond the bound of characters doesn't keep out the others of its label."""
+    rows = [(k, "x" * (1000 if k % 7 == 0 else 10), "en", "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, *_ in rows], "doc_id long, quality int, toxic int")
+    texts, _ = toxicity.training_rows(docs, labels, toxicity.Settings(most_chars=1600))
+    assert len(texts) == sum(zlib.crc32(str(k).encode()) % 3 != 1 and k % 7 != 0 for k in range(60))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF1), reason="no test data")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "labels"))
