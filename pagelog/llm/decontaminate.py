@@ -5,6 +5,7 @@ is lower-cased without outer punctuation. Windows of such words are hashed; docu
 that share windows are joined on the hash. A shared window counts if its slots are consistent: within a
 document and item, every slot value of the item must always meet the same value in the document. So a
 question asked again with other numbers or names is found, and prose that merely has the same shape isn't.
+Items shorter than a window are found as a whole.
 """
 
 from __future__ import annotations
@@ -109,39 +110,42 @@ class Canonical:
         return owner, np.where(kind > 0, kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), value), kind, value
 
 
-def _hashes(code: np.ndarray, kind: np.ndarray, w: int, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, whether it has enough literals) of each window of w words."""
+def _hashes(code: np.ndarray, w: int) -> np.ndarray:
+    """A hash of each window of w words."""
     n = len(code) - w + 1
     h = np.zeros(n, dtype=np.uint64)
     for k in range(w):
         h = (h ^ code[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(29)
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
-    return h ^ np.uint64(w), literal[w:] - literal[:-w] >= min(rules.literals, w)
+    return h ^ np.uint64(w)
 
 
-def windows(owner: np.ndarray, code: np.ndarray, kind: np.ndarray, rules: Rules) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(places in the arrays, hashes, words) of the windows with enough literals, none over two texts. A
-    text of fewer words than a window is one window, if it has enough literals."""
-    w = rules.window
-    if len(code) >= w:
-        h, good = _hashes(code, kind, w, rules)
-        at = np.flatnonzero(good & (owner[: len(h)] == owner[w - 1 :]))
-        yield at, h[at], w
+def windows(owner: np.ndarray, code: np.ndarray, kind: np.ndarray, value: np.ndarray, rules: Rules, short: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """(places in the arrays, hashes, words, exact) of the windows with enough literals, none over two texts. short: further lengths, below a window's;
+    None: a text of fewer words than a window is one window."""
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     sizes = np.diff(np.append(first, len(owner)))
-    for a, n in zip(first[sizes < w].tolist(), sizes[sizes < w].tolist(), strict=True):
-        h, good = _hashes(code[a : a + n], kind[a : a + n], n, rules)
-        if good[0]:
-            yield np.array([a]), h, n
+    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+    whole = short is None
+    for w in [rules.window, *(np.unique(sizes[sizes < rules.window]).tolist() if whole else short)]:
+        if len(code) < w:
+            continue
+        inside = owner[: len(owner) - w + 1] == owner[w - 1 :]
+        if whole and w < rules.window:
+            only = np.zeros(len(owner), dtype=bool)
+            only[first[sizes == w]] = True
+            inside &= only[: len(inside)]
+        good = np.flatnonzero(inside & (literal[w:] - literal[:-w] >= min(rules.literals, w)))
+        yield good, _hashes(code, w)[good], w, False
 
 
-_WINDOW = "owner long, at int, h long, slots array<long>"
+_WINDOW = "owner long, at int, h long, slots array<long>, exact boolean"
 
 
-def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, size: bool) -> DataFrame:
-    """Rows (owner, at, h, slots) of df(owner, text). known: a bit map of the hashes that are wanted.
-    slots are the windows' slot values, in order. size adds the number of the text's words."""
+def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, short: list[int] | None) -> DataFrame:
+    """Rows (owner, at, h, slots, exact) of df(owner, text). known: a bit map of the hashes that are wanted.
+    slots are the windows' slot values, in order. Without short, size adds the number of the text's words."""
+    size = short is None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
@@ -150,14 +154,14 @@ def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, size: bool)
             for a, b in strides([len(t) for t in texts]):
                 rows = list(_rows(canonical(texts[a:b]), names[a:b]))
                 if rows:
-                    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()][: 4 + size]
-                    columns = list(zip(*rows, strict=True))[: 4 + size]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "at", "h", "slots", "size"][: 4 + size])
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32()][: 5 + size]
+                    columns = list(zip(*rows, strict=True))[: 5 + size]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "at", "h", "slots", "exact", "size"][: 5 + size])
 
     def _rows(arrays, names):
         owner, code, kind, value = arrays
         first = np.searchsorted(owner, np.arange(len(names) + 1))
-        for at, h, w in windows(owner, code, kind, rules):
+        for at, h, w, exact in windows(owner, code, kind, value, rules, short):
             if known is not None:
                 bit = h & np.uint64((1 << FILTER_BITS) - 1)
                 wanted = known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
@@ -165,7 +169,7 @@ def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, size: bool)
             for x, y in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True):
                 k = int(owner[x])
                 slots = value[x : x + w][kind[x : x + w] > 0].astype(np.int64).tolist()
-                yield names[k], x - int(first[k]), y, slots, int(first[k + 1] - first[k])
+                yield names[k], x - int(first[k]), y, slots, exact, int(first[k + 1] - first[k])
 
     return df.mapInArrow(run, _WINDOW + (", size int" if size else ""))
 
@@ -191,15 +195,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     adaptive execution splits a passage that very many documents share.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = scratch.save(_explode(own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("owner"), "text"), rules, None, True), "items")
+    items = scratch.save(_explode(own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("owner"), "text"), rules, None, None), "items")
+    short = sorted(r["size"] for r in items.where(F.col("size") < rules.window).select("size").distinct().collect())
     known = docs.sparkSession.sparkContext.broadcast(_bit_map(items)).value
-    ours = _explode(own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("owner"), "text"), rules, known, False)
-    item_side = items.select(F.col("owner").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "size").distinct()
-    met = ours.select(F.col("owner").alias("doc_id"), "at", "h", "slots").join(item_side, "h")
+    ours = _explode(own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("owner"), "text"), rules, known, short)
+    item_side = items.select(F.col("owner").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "size", F.col("exact").alias("item_exact")).distinct()
+    met = ours.select(F.col("owner").alias("doc_id"), "at", "h", "slots", "exact").join(item_side, "h").where("exact = item_exact")
     # windows of one alignment (same shift) belong to one occurrence; its slots must agree throughout
-    met = met.withColumn("shift", F.col("at") - F.col("item_at")).where(F.size("slots") == F.size("item_slots"))
+    met = met.withColumn("shift", F.col("at") - F.col("item_at")).where(F.col("exact") | (F.size("slots") == F.size("item_slots")))
+    # the words of exact windows are the same, whatever their case makes of them
+    met = met.withColumn("slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")))
+    # by templates alone, and with exact windows beside them
+    met = met.withColumn("beside", F.explode(F.when(F.col("exact"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))))
-    found = met.groupBy("doc_id", "item_id", "shift", "size").agg(F.collect_set("item_at").alias("places"), pairs.alias("pairs"))
+    found = met.groupBy("doc_id", "item_id", "shift", "size", "beside").agg(F.collect_set("item_at").alias("places"), pairs.alias("pairs"))
     # a consistent occurrence maps each of the item's values to one value only
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
     window = rules.window

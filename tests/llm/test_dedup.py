@@ -256,6 +256,16 @@ def test_inconsistent_slots(spark):
     assert [r["doc_id"] for r in decontaminate.contaminated(d, b, rules).collect()] == [1]
 
 
+def test_short_items(spark):
+    """Items of fewer words than a window are found inside longer documents."""
+    short = {1: "What is the capital city of France?", 2: "why do cats purr"}
+    docs = [(k, f"{FILL}. {t} {FILL}") for k, t in short.items()] + [(5, FILL), (6, "why do cats purr"), (7, "cats purr why do")]
+    b = spark.createDataFrame(list(short.items()), "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(1, 1), (2, 2), (6, 2)}
+
+
 # -- near copies in the pipeline
 
 
