@@ -5,7 +5,8 @@ is lower-cased without outer punctuation. Windows of such words are hashed; docu
 that share windows are joined on the hash. A shared window counts if its slots are consistent: within a
 document and item, every slot value of the item must always meet the same value in the document. So a
 question asked again with other numbers or names is found, and prose that merely has the same shape isn't.
-Items shorter than a window are found as a whole.
+Windows of the case-folded words themselves stand beside these, so verbatim copies are found whatever
+their number of slots or their case. Items shorter than a window are found as a whole.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _describe(words: list[str]) -> np.ndarray:
     digest, values, kinds, capitals, ends = xxhash.xxh64_intdigest, [], [], [], []
     for word in words:
         kind, value = slot_of(word)
-        values.append(digest(value.encode("utf-8", "surrogatepass"), 7))
+        values.append(digest(value.casefold().encode("utf-8", "surrogatepass"), 7))
         kinds.append(kind if value else -1)
         plain = word.isalpha()
         capitals.append(kind == 0 and (word if plain else word.lstrip(_EDGES))[:1].isupper())
@@ -110,6 +111,9 @@ class Canonical:
         return owner, np.where(kind > 0, kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), value), kind, value
 
 
+_EXACT = np.uint64(0x5851F42D4C957F2D)
+
+
 def _hashes(code: np.ndarray, w: int) -> np.ndarray:
     """A hash of each window of w words."""
     n = len(code) - w + 1
@@ -121,7 +125,8 @@ def _hashes(code: np.ndarray, w: int) -> np.ndarray:
 
 
 def windows(owner: np.ndarray, code: np.ndarray, kind: np.ndarray, value: np.ndarray, rules: Rules, short: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
-    """(places in the arrays, hashes, words, exact) of the windows with enough literals, none over two texts. short: further lengths, below a window's;
+    """(places in the arrays, hashes, words, exact) of windows, none over two texts: those of canonical words
+    with enough literals, and exact ones of the words themselves. short: further lengths, below a window's;
     None: a text of fewer words than a window is one window."""
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     sizes = np.diff(np.append(first, len(owner)))
@@ -137,6 +142,8 @@ def windows(owner: np.ndarray, code: np.ndarray, kind: np.ndarray, value: np.nda
             inside &= only[: len(inside)]
         good = np.flatnonzero(inside & (literal[w:] - literal[:-w] >= min(rules.literals, w)))
         yield good, _hashes(code, w)[good], w, False
+        at = np.flatnonzero(inside)
+        yield at, (_hashes(value, w) ^ _EXACT)[at], w, True
 
 
 _WINDOW = "owner long, at int, h long, slots array<long>, exact boolean"

@@ -258,12 +258,28 @@ def test_inconsistent_slots(spark):
 
 def test_short_items(spark):
     """Items of fewer words than a window are found inside longer documents."""
-    short = {1: "What is the capital city of France?", 2: "why do cats purr"}
-    docs = [(k, f"{FILL}. {t} {FILL}") for k, t in short.items()] + [(5, FILL), (6, "why do cats purr"), (7, "cats purr why do")]
+    short = {1: "What is the capital city of France?", 2: "why do cats purr", 3: "two plus two"}
+    docs = [(k, f"{FILL}. {t} {FILL}") for k, t in short.items()] + [(5, FILL), (6, "why do cats purr"), (7, "cats purr why do"), (8, "and two plus two make four")]
     b = spark.createDataFrame(list(short.items()), "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
-    assert got == {(1, 1), (2, 2), (6, 2)}
+    assert got == {(1, 1), (2, 2), (3, 3), (6, 2), (8, 3)}
+
+
+def test_verbatim_items(spark):
+    """Items rich in slots, in capitals, and copies in another case."""
+    items = {
+        1: "Tom Lee paid 3 dollars, Ann Fox paid 5 dollars, Bob Ray paid 12 dollars. How many dollars did Tom, Ann and Bob pay in 2 weeks?",
+        2: "Compute the sum: 12 + 45 + 7 + 3 + 9 + 11 + 80 + 44 equals 211.",
+        3: "NAME THE LARGEST RIVER THAT CROSSES THE OLD CITY WALL BEFORE IT MEETS THE SEA",
+        4: ITEM,
+    }
+    docs = [(k, f"{FILL} {t} {FILL}") for k, t in items.items()] + [(13, items[3].lower()), (14, f"{FILL} {ITEM.upper()}"), (24, ITEM.lower()), (30, FILL)]
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (13, 3), (14, 4), (24, 4)}
+    assert all(r["covered"] == r["size"] and r["changed_slots"] == 0 for r in got.values())
 
 
 # -- near copies in the pipeline
