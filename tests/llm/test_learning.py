@@ -135,6 +135,22 @@ def test_network_learns_stems():
     assert toxicity.train(["a"], [1]) is None and toxicity.train([], []) is None
 
 
+def test_whole_words_are_read():
+    """Long words come in pieces that keep every n-gram; signs beyond ASCII part words."""
+    assert toxicity.split_words("Eins\u00a0zwei\u3001drei\u2026vier\u300cf\u00fcnf\u300d a-b") == ["eins".encode(), b"zwei", b"drei", b"vier", "f\u00fcnf".encode(), b"a", b"b"]
+    rnd = random.Random(4)
+    for n in (1, 4, 5, 63, 64, 65, 68, 69, 124, 125, 500):
+        word = bytes(rnd.choice(b"abcdefghij") for _ in range(n))
+        pieces = toxicity.split_words(word.decode())
+        assert max(map(len, pieces)) <= 64 and (n > 64 or pieces == [word])
+        assert all(any(word[k : k + 5] in p for p in pieces) for k in range(max(n - 4, 1)))
+    rows = toxic_rows(1000, 1)
+    scorer = toxicity.Scorer(toxicity.train([r[1] for r in rows], [r[3] for r in rows]))
+    calm = "\u4e00" * 200
+    a, b, c = scorer.logits([calm + "\u3002", calm + "\u3002vilest", "x" * 300 + "vilest" * 30])[0]
+    assert b > a and c != scorer.logits(["x" * 300])[0][0]
+
+
 def test_score_query(spark):
     rows = toxic_rows(600, 2)
     docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, t, lang, _ in rows] + [(None, "the end", "en", "s", 1), (9999, None, None, None, None), (9998, "", "en", "s", 0)], DOCS)
