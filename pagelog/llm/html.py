@@ -20,11 +20,8 @@ from pagelog.llm.common import Scratch, map_batches, own_columns, texts_of
 #: Winners of more bytes than this are joined by a shuffle instead of a broadcast.
 BROADCAST_BYTES = 32 << 20
 
-_ATTRIBUTES = r"""((?:[^>"']++|"[^"]{0,9999}+"|'[^']{0,9999}+')*+)"""
-_TOKEN = re.compile(
-    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*)(?:{_ATTRIBUTES}>|([^>]*+)(?:>|\Z))",
-    re.DOTALL,
-)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)", re.DOTALL)
+_UNQUOTED = re.compile(r"""[^>"']*+""")
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -86,6 +83,22 @@ def _step(tag: str, classes: str) -> str:
     return ".".join([tag, *names])
 
 
+def _tag_end(source: str, at: int, failed: set[int]) -> int:
+    """Where the > is that ends a tag whose attributes begin at a place, not one in a quoted value; -1 without one.
+
+    failed: the opening quotes of the page that lead to no end; each is followed once, so a page takes linear time."""
+    opened = []
+    while (at := _UNQUOTED.match(source, at).end()) < len(source) and at not in failed:
+        if source[at] == ">":
+            return at
+        opened.append(at)
+        at = source.find(source[at], at + 1) + 1
+        if not at:
+            break
+    failed.update(opened)
+    return -1
+
+
 def parse(source: str) -> Page:
     """The page's elements and blocks of text, in the way browsers mend broken markup for the common cases."""
     page = Page()
@@ -119,7 +132,7 @@ def parse(source: str) -> Page:
             if links:
                 linked += len(text)
 
-    at = 0
+    at, failed = 0, set()
     for m in iter(lambda: _TOKEN.search(source, at), None):
         say(source[at : m.start()])
         at = m.end()
@@ -136,7 +149,11 @@ def parse(source: str) -> Page:
             continue
         if not m[2]:
             continue
-        tag, given = m[2].lower(), m[3] if m[3] is not None else m[4] or ""
+        end = _tag_end(source, at, failed)
+        if end < 0 and (end := source.find(">", at)) < 0:
+            end = len(source)
+        tag, given = m[2].lower(), source[at:end]
+        at = min(end + 1, len(source))
         if tag in VOID:
             if tag in BLOCK:
                 flush()

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,18 @@ def test_markup_is_mended():
         assert html.extract(html.parse(f"<article>{source}</article>" if source != "<script>x" else source), None) == text, source
 
 
+def test_long_attributes():
+    """A quoted value ends at its quote, however long it is; unclosed quotes end at the next > and take linear time."""
+    for n in (100, 9_999, 12_000, 300_000):
+        page = html.parse(f"""<body><div data-x="<b>{'y' * n}" class="article" id='a>b'><p>text</div><div data-x='<i>{"z" * n}' hidden>not this</div>""")
+        assert [text for _, text, _ in page.blocks] == ["text"] and [node.path for node in page.nodes if node.tag == "div"][0].endswith("div.article")
+    for part in ("<a \">\"", "<a '\">", "<a \"", "<a b='>"):
+        began = time.process_time()
+        html.parse(part * 50_000 + "'")
+        assert time.process_time() - began < 20
+    assert html.extract(html.parse("<article><p title=\"a>b</article>"), None) == "b"
+
+
 def brute_chunks(b, c):
     out, s, n = [], 0, len(b)
     while s < n:
