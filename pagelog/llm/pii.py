@@ -14,7 +14,6 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -87,8 +86,8 @@ _ONE_DIGIT = re.compile(_DIGITS, re.IGNORECASE)
 
 
 def _spoken_patterns() -> list[str]:
-    """Over lower-cased bytes. Whatever _SIGNS can match in a way that could complete an identifier lies
-    within REACH of a match of these."""
+    """Over lower-cased bytes. A text in which none of these matches has no sign or digit that _SIGNS could
+    rewrite so that an identifier is completed."""
     digit, dots, ats = f"(?:{_DIGITS})", f"(?:{_any(DOT_WORDS)})", f"(?:{_any(AT_WORDS)})"
     return [
         rf"{digit}(?:[ -]{digit}[ -]{digit}|[ .-][0-9]|(?:\.| {dots} ){digit})",
@@ -98,10 +97,6 @@ def _spoken_patterns() -> list[str]:
     ]
 
 
-#: Characters on both sides of such a place that the rewriting looks at; longer ones hold such places within.
-REACH = 64
-
-
 _EMAIL = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -154,9 +149,8 @@ class Rewritten:
         self._from = [0]  # where segments begin in the rewritten text
         self._source = [(0, len(source), True)]  # (begin, end, copied one to one)
 
-    def apply(self, expression: re.Pattern, output, windows: list[tuple[int, int]] | None = None) -> Rewritten:
-        """The transducer that copies what the expression doesn't match and writes output(match) for what it
-        does. windows: where it can match."""
+    def apply(self, expression: re.Pattern, output) -> Rewritten:
+        """The transducer that copies what the expression doesn't match and writes output(match) for what it does."""
         parts, starts, sources = [], [], []
         at = size = 0
 
@@ -173,7 +167,7 @@ class Rewritten:
                 size += stop - at
                 at = stop
 
-        for m in (m for a, b in windows or [(0, len(self.text))] for m in expression.finditer(self.text, a, b)):
+        for m in expression.finditer(self.text):
             if m.end() == m.start() or (put := output(m)) is None:
                 continue
             copy(m.start())
@@ -214,7 +208,7 @@ class PiiScanner:
     only show once it is rewritten. Both in source code points, by start, the end exclusive. An added
     span overlaps no base span of its kind.
 
-    One automaton tells which texts hold any spoken sign or digit, so only those are rewritten.
+    One automaton tells which texts hold a spoken sign or digit; those are rewritten whole.
     """
 
     def __init__(self):
@@ -227,25 +221,10 @@ class PiiScanner:
             if not text.isascii() and _ODD.search(text):
                 done[k] = Rewritten(text).apply(_ODD, lambda m: LOOKALIKES.get(m[0]))
                 plain[k] = done[k].text
-        raw = [t.lower().encode("utf-8", "surrogatepass") for t in plain]
-        for k, places in self.spoken.places(raw).items():
-            done[k] = (done[k] or Rewritten(texts[k])).apply(_SIGNS, _spoken, self._windows(raw[k], places, len(plain[k])))
+        for k in self.spoken.places([t.lower().encode("utf-8", "surrogatepass") for t in plain]):
+            done[k] = (done[k] or Rewritten(texts[k])).apply(_SIGNS, _spoken)
         return done
 
-    @staticmethod
-    def _windows(raw: bytes, places: list[int], size: int) -> list[tuple[int, int]]:
-        """Around the places, in code points (lower-casing may shift them a little), merged where they meet."""
-        points = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-        slack = REACH + abs(int(points[-1]) - size)
-        merged: list[list[int]] = []
-        for at in places:
-            a, b = int(points[at]) - 1 - slack, int(points[at]) + slack
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = min(b, size)
-            else:
-                merged.append([max(0, a), min(b, size)])
-        return [(a, b) for a, b in merged if a < b]
-
     def find(self, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
         out = []
         for text, done in zip(texts, self.normalise(texts), strict=True):

@@ -38,7 +38,8 @@ def _count(kind: str) -> Column:
 
 
 def _digest(found: DataFrame, kinds: list[str]) -> DataFrame:
-    return found.select("doc_id", *[_count(k) for k in kinds], F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("all").alias("spans"))
+    """n_* count the base spans by kind, n_spans all of them, those that the method adds included."""
+    return found.select("doc_id", *[_count(k) for k in kinds], F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("all").alias("spans"), F.size("kind").cast("long").alias("n_spans"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,33 @@ def test_disguises(text, kind, found):
     assert base == [] and [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize("n", [10, 60, 100, 1000, 70_000])
+def test_long_disguises(n):
+    """However long an identifier is, it is found as a whole."""
+    scanner = pii.PiiScanner()
+    for text in (f"john at {'h' * n}.com", f"{'j' * n} (at) {'h' * n} [dot] {'o' * n}", f"{'j' * n} at {'h-' * n}h dot org"):
+        base, added = scanner.find([f"x {text} x"])[0]
+        assert base == [] and added == [("email", 2, 2 + len(text))]
+
+
+def test_added_spans_at_random():
+    """Texts that the automaton passes over would have no further spans if they were rewritten."""
+    rnd = random.Random(12)
+    parts = ["one", "two", "five", "zwei", "plus", "at", "dot", "(at)", "[dot]", "arroba", "@", ".", " ", " ", " ", "-", "a", "bob", "casa", "es", "1", "22", "192", "(", ")", "\u0430", "\u200b", "+", "4111", "oh", "\n"]
+    scanner = pii.PiiScanner()
+    gates = 0
+    for _ in range(4000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))
+        base, added = scanner.find([t])[0]
+        whole = pii.Rewritten(t).apply(pii._ODD, lambda m: pii.LOOKALIKES.get(m[0])).apply(pii._SIGNS, pii._spoken)
+        found = {(kind, *whole.back(a, b)) for kind, a, b in pii.detect(whole.text)}
+        found = {(kind, a + len(t[a:b]) - len(t[a:b].lstrip()), b - len(t[a:b]) + len(t[a:b].rstrip())) for kind, a, b in found}
+        assert base == plain_pii(t)
+        assert set(added) == {f for f in found if not any(f[0] == k and f[1] < y and x < f[2] for k, x, y in base)}, t
+        gates += bool(added)
+    assert gates > 200
+
+
 def test_plain_prose_has_no_pii():
     for t in ("we met at noon dot", "one two three four", "look at this. It was at home.", "seven of nine"):
         assert pii.PiiScanner().find([t])[0] == ([], [])
