@@ -1,10 +1,11 @@
-"""Near copies by shingles of words: two texts are linked if the sets of their five-word shingles have a Jaccard
-similarity of at least 0.8.
-
-Candidates share a band of min-hashes; a pair of similarity 0.8 shares none of the bands with probability
-(1 - 0.8 ** ROWS) ** BANDS, about 0.00007. Every candidate is verified on the whole sets. First each
-bucket's members are held against one of them, which collapses large groups of copies; then, where a
-bucket still holds several groups, all pairs of different groups are.
+"""Near-duplicate groups for the pipeline: SimHash links, and near copies by shingles of words beside them.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least 0.8;
+most such pairs differ in more fingerprint bits than probes can reach. Candidates share a band of min-hashes;
+a pair of similarity 0.8 shares none of the bands with probability (1 - 0.8 ** ROWS) ** BANDS, about 0.00007.
+Every candidate is verified on the whole sets. First each text is held against one other of its buckets, the
+same for most of a large group, which collapses it; then, where a bucket still holds several groups, texts
+of different groups are held against each other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagelog.llm.common import Scratch, map_batches, own_columns, texts_of
 from pagelog.llm.graph import components
-from pagelog.llm.simhash import SEED
+from pagelog.llm.simhash import DISTANCE, SEED, fingerprint, links
 from pagelog.llm.words import WordTable, strides
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 24, 5
@@ -77,23 +78,46 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, shingles, bands): node stands for the set of shingles."""
+    """(doc_id, fp, node, size, bands): the SimHash fingerprint, a hash that stands for the set of shingles, the
+    set's size and its bands."""
     held: list[Shingles] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
             held.append(Shingles())
-        texts, sets, marks = texts_of(batch), [], []
+        texts, sizes, nodes, marks = texts_of(batch), [], [], []
+        for a, b in strides([len(t) for t in texts]):
+            sets = held[0](texts[a:b])
+            sizes += map(len, sets)
+            nodes += [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+            marks.append(bands(sets))
+        every = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(marks).astype(np.int64).ravel()))
+        fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), pa.array(fps), pa.array(np.array(nodes, dtype=np.uint64).astype(np.int64)), pa.array(sizes, pa.int32()), every],
+            names=["doc_id", "fp", "node", "size", "bands"],
+        )
+
+    return map_batches(own_columns(docs, "doc_id", "text"), run, "doc_id long, fp long, node long, size int, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the texts whose nodes are wanted(node). The sets are made anew from the texts, which take
+    less room than sets that wait."""
+    held: list[Shingles] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(Shingles())
+        texts, sets = texts_of(batch), []
         for a, b in strides([len(t) for t in texts]):
             sets += held[0](texts[a:b])
-            marks.append(bands(sets[a:b]))
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).astype(np.int64)
-        offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).astype(np.int64)))
-        every = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(marks).astype(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes), lists, every], names=["doc_id", "node", "shingles", "bands"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), lists], names=["node", "shingles"])
 
-    return map_batches(own_columns(docs, "doc_id", "text"), run, "doc_id long, node long, shingles array<long>, bands array<long>")
+    made = map_batches(own_columns(docs, "text"), run, "node long, shingles array<long>")
+    return made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
@@ -103,52 +127,70 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     return pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").where(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v")
 
 
-def near_copy_links(each: DataFrame, least: float = LEAST) -> DataFrame:
-    """(u, v) between nodes of each(node, shingles, bands): their components are those of all candidates alike enough."""
+def near_copy_links(each: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(u, v) between nodes of each(node, size, bands): their components are those of all candidates alike enough.
+    docs are the texts that each was made of."""
     scratch = Scratch(each.sparkSession, "nearcopies")
-    slim = each.where(F.size("shingles") > 0).select("node", F.size("shingles").alias("size"), "bands").groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    slim = each.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     rows = slim.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("head")).where("n > 1").select("bucket", "head")
+    first_of = F.min_by(F.struct("node", "size"), F.xxhash64("node"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), first_of.alias("head")).where("n > 1").select("bucket", "head")
     members = scratch.save(rows.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    sets = scratch.save(each.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    sizes = members.select(F.col("bucket"), F.col("node").alias("head"), F.col("size").alias("head_size"))
+    sets = scratch.save(shingle_sets(docs, members.select("node").distinct()), "sets")
     ordered = [F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")]
     alike = F.least("size", "head_size") >= least * F.greatest("size", "head_size") - 1e-6  # else the sets can't be
-    stars = members.where("node <> head").join(sizes.join(shared, ["bucket", "head"], "left_semi"), ["bucket", "head"]).where(alike).select(*ordered).distinct()
+    # of its buckets' heads each text is held against one
+    one = members.where("node <> head.node").groupBy("node", "size").agg(F.min_by("head", F.xxhash64("head.node")).alias("h"))
+    stars = scratch.save(one.select("node", "size", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")).where(alike).select(*ordered).distinct(), "stars")
     first = scratch.save(verified(stars, sets, least), "first")
     grouped = components(first).withColumnRenamed("component", "c")
-    known = members.join(grouped, "node", "left").select("bucket", "node", "size", F.coalesce("c", "node").alias("c"))
+    known = members.select("bucket", "node", "size").join(grouped, "node", "left").select("bucket", "node", "size", F.coalesce("c", "node").alias("c"))
     counted = known.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     largest = counted.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "largest")
     mixed = scratch.save(known.join(largest, "bucket"), "mixed")
     # those outside a bucket's largest group meet all of other groups
     outside = mixed.where("c <> largest").select("bucket", F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("c").alias("head_c"))
     met = mixed.join(outside, "bucket").where((F.col("c") != F.col("head_c")) & ((F.col("c") == F.col("largest")) | (F.col("node") > F.col("head"))) & alike)
-    rest = met.select(*ordered).distinct().join(stars.select("u", "v"), ["u", "v"], "left_anti")
+    rest = met.select(*ordered).distinct().join(stars, ["u", "v"], "left_anti")
     return first.unionByName(verified(rest, sets, least))
 
 
-def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def _least_ids(each: DataFrame, links_: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component_id): the smallest doc_id of the node's component, all nodes of each(doc_id, node) included."""
+    nodes = each.groupBy("node").agg(F.min("doc_id").alias("least"))
+    grouped = components(links_).withColumnRenamed("node", "of")
+    of_node = nodes.join(grouped, nodes["node"] == grouped["of"], "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    lowest = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
+    return scratch.save(of_node.join(lowest, "root").select("node", "component_id"), "known")
+
+
+def near_copies(docs: DataFrame, least: float = LEAST, distance: int | None = None) -> DataFrame:
     """(doc_id, component_id) for each row of docs(doc_id, text): the smallest doc_id among all documents that
-    links lead to, its own included.
+    links lead to, its own included. With a distance, fingerprints within it are links as well, as in simhash.
 
     Equal sets are linked, so texts without words are; a null text counts as empty. A null doc_id is never
-    the smallest unless a group has no other; rows that repeat a doc_id come out as often.
+    the smallest unless a group has no other; rows that repeat a doc_id come out as often; further columns
+    are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
     each = scratch.save(described(docs), "each")
-    nodes = scratch.save(each.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    grouped = components(near_copy_links(each, least)).withColumnRenamed("node", "of")
-    of_node = nodes.join(grouped, nodes["node"] == grouped["of"], "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    lowest = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = scratch.save(of_node.join(lowest, "root").select("node", "component_id"), "known")
+    found = near_copy_links(each, docs, least)
+    if distance is not None:
+        fps = scratch.save(each.select("fp").distinct(), "fps")
+        roots = components(links(fps, distance)).withColumnRenamed("node", "fp")
+        pairs = scratch.save(each.select("fp", "node").distinct().join(roots, "fp", "left").select(F.coalesce("component", "fp").alias("root"), "node").distinct(), "pairs")
+        # the nodes of a group of fingerprints are linked to the smallest of them
+        smallest = pairs.groupBy("root").agg(F.min("node").alias("v"))
+        found = found.unionByName(pairs.join(smallest, "root").where("node <> v").select(F.col("node").alias("u"), "v"))
+    known = _least_ids(each, found, scratch)
     return each.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is its group's smallest. Rows without a doc_id can't be
+def drop_near_copies(docs: DataFrame, least: float = LEAST, distance: int | None = DISTANCE) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is its group's smallest, by both kinds of links.
+
+    Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id can't be
     told apart: they all stay if a group has no others, else none does."""
-    found = near_copies(docs, least)
+    found = near_copies(docs, least, distance)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

@@ -254,8 +254,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is its group's smallest. Rows without a doc_id can't be
-    told apart: they all stay if a group has no others, else none does."""
+    """The rows of docs, with all columns, whose doc_id is its group's smallest. Rows that repeat a doc_id are
+    one document: they stay or go together. Rows without a doc_id can't be told apart: they all stay if a
+    group has no others, else none does."""
     found = near_duplicates(docs, distance)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

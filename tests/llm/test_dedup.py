@@ -285,9 +285,35 @@ def test_verbatim_items(spark):
 # -- near copies in the pipeline
 
 
-def test_near_copies(spark):
-    """Copies with a few edited words, one large group of them among them, and texts that share too little."""
-    import corpus_pipeline
+def plain_groups(rows, distance):
+    """The smallest doc_id of each row's group, by all pairs: five-word shingles at 0.8, and fingerprints within the distance."""
+    sets = [set(zip(*[(t or "").lower().split()[j:] for j in range(5)], strict=False)) or {tuple((t or "").lower().split())} for _, t in rows]
+    fps = [simhash.fingerprint(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if same >= 0.8 * (len(sets[a]) + len(sets[b]) - same) or distance is not None and (fps[a] ^ fps[b]).bit_count() <= distance:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [least.get(find(k)) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("distance", [None, 4])
+def test_near_copies(spark, distance):
+    """Copies with a few edited words, one large group of them among them, texts that share too little, and a
+    family in which each shares half with all others."""
     from pagelog.llm import nearcopies
 
     rnd = random.Random(5)
@@ -303,23 +329,24 @@ def test_near_copies(spark):
             k += 1
         rows.append((k, " ".join(base[:120] + text(80))))  # half of it is other text
         k += 1
-    rows += [(k, None), (k + 1, ""), (k + 2, "two words"), (k + 3, "Two words"), (k + 3, "two words"), (None, "nobody's own")]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, node string")
-    sets = [set(zip(*[(t or "").lower().split()[j:] for j in range(5)], strict=False)) or {tuple((t or "").lower().split())} for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    shared = text(130)
+    for _ in range(40):
+        rows.append((k, " ".join(shared + text(70))))
+        k += 1
+    rows += [(k, rows[-1][1] + " one more"), (k + 1, ""), (k + 2, "two words"), (k + 3, "Two words"), (k + 3, "two words"), (None, "nobody's own"), (k + 4, None), (k + 5, "w " * 100_000)]
+    df = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in rows], "doc_id long, text string, node string, size int, fp int")
+    expected = plain_groups(rows, distance)
+    got = nearcopies.near_copies(df, distance=distance).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(i), str(c)) for (i, _), c in zip(rows, expected, strict=True))
+    kept = nearcopies.drop_near_copies(df, distance=distance)
+    stay = {i for (i, _), c in zip(rows, expected, strict=True) if i == c}
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i in stay)
+    assert nearcopies.near_copies(df.where("false"), distance=distance).count() == 0
+
+
+def test_repeated_rows_are_one_document(spark):
+    from pagelog.llm import nearcopies
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    expected = sorted((str(i), str(rows[find(j)][0])) for j, (i, _) in enumerate(rows))
-    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in nearcopies.near_copies(df).collect()) == expected
-    kept = dict(corpus_pipeline.STAGES)["near copies"](spark, df, SF)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(i for i, c in expected if i == c)
-    assert nearcopies.near_copies(df.where("false")).count() == 0
+    df = spark.createDataFrame([(1, "the same text here"), (1, "the same text here"), (2, "the same text here")], "doc_id long, text string")
+    assert [r["doc_id"] for r in nearcopies.drop_near_copies(df).collect()] == [1, 1]
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [1, 1]
