@@ -30,11 +30,27 @@ def test_tokens(tokenizer):
     bpe = ByteBpe(default_tokenizer())
     rnd = random.Random(1)
     parts = ["the", " ", "  ", "\n", "é", "ü's", "don't", "123", "😀", "!?", "\t", "日本", " ", "a", "²"]
-    texts = ["", " ", "<|endoftext|>", "a<|endoftext|>b"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(500)]
+    texts = ["", " ", "<|endoftext|>", "a<|endoftext|>b", " " * 1_200_000, "a" * 50_000, "\n" * 3000 + "x"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(500)]
     for t in texts:
         assert bpe.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
 
 
+def test_other_tokenizer_files(tmp_path, tokenizer):
+    """A file with other settings is left to the library; nothing is assumed of it."""
+    import json
+
+    with open(default_tokenizer()) as f:
+        content = json.load(f)
+    changes = {"prefix": {"pre_tokenizer": content["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}, "merges": {"model": content["model"] | {"merges": content["model"]["merges"][:1000]}}}
+    for name, change in changes.items():
+        (tmp_path / name).write_text(json.dumps(content | change))
+        bpe, own = ByteBpe(str(tmp_path / name)), type(tokenizer).from_file(str(tmp_path / name))
+        assert bpe._fast is None
+        for t in ("Some words of THE text", " x", "<|endoftext|>", "don't"):
+            assert bpe.encode(t) == np.array(own.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert ByteBpe(default_tokenizer())._fast is not None
+
+
 def test_best_fit_and_crossover():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 2048, 300).tolist()
@@ -43,11 +59,52 @@ def test_best_fit_and_crossover():
     c = packing.crossover(a, b, sizes, 2048, rng)
     for s in (a, b, c):
         assert sorted(i for x in s for i in x) == list(range(300)) and max(sum(sizes[i] for i in x) for x in s) <= 2048
-    best = packing.evolve(sizes, 2048, [a], 3, packing.Evolution())
+    best, _, _ = packing.evolve(sizes, 2048, [a], 3, packing.Evolution())
     assert len(best) <= len(a)
-    # a case where best fit in decreasing order needs a bin too many
-    hard = [6, 5, 4, 3, 3, 3, 2, 2, 2] * 2
-    assert len(packing.evolve(hard, 10, [], 1, packing.Evolution(population=12, offspring=200))) <= len(packing.first_solution(hard, 10, rng, 0.0))
+
+
+def triplets(bins, length, rng):
+    """Sizes of which three fill a bin exactly: best fit in decreasing order is far from that."""
+    out = []
+    for _ in range(bins):
+        a = int(rng.integers(int(length * 0.38), int(length * 0.49)))
+        b = int(rng.integers(int(length * 0.25), (length - a) // 2 + 1))
+        out += [a, b, length - a - b]
+    return [int(x) for x in rng.permutation(out)]
+
+
+@pytest.mark.parametrize("bins", [20, 100, 1300])
+def test_search_beats_best_fit(bins):
+    rng = np.random.default_rng(bins)
+    sizes = triplets(bins, 1000, rng)
+    plain = len(packing.first_solution(sizes, 1000, rng, 0.0))
+    best, made, began = packing.evolve(sizes, 1000, [], 1, packing.Evolution())
+    again, _, _ = packing.evolve(sizes, 1000, [best], 2, packing.Evolution())
+    assert made == packing.Evolution().offspring and bins <= len(again) <= len(best) < began <= plain
+    assert plain - len(again) >= 0.4 * (plain - bins)  # of the bins too many, at least so many are saved
+    assert sorted(i for b in again for i in b) == list(range(3 * bins)) and max(sum(sizes[i] for i in b) for b in again) <= 1000
+    # children without the search's swaps still are whole
+    none = packing.Evolution(swaps=0, offspring=3)
+    assert sorted(i for b in packing.evolve(sizes, 1000, [], 1, none)[0] for i in b) == list(range(3 * bins))
+
+
+def test_search_in_blocks(spark, tmp_path):
+    """Crossovers and migration save bins in every block of hard sizes; the second round never makes more."""
+    from pagelog.llm.common import Scratch
+
+    rng = np.random.default_rng(5)
+    sizes = triplets(150, 500, rng)
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid long, length int")
+    how = packing.Evolution(block_items=160)
+    placed = packing.pack_items(items, 500, how, Scratch(spark, "test"), "a").cache()
+    report = packing.search_report(placed).collect()
+    assert len(report) > 1 and all(r["crossovers"] > 0 and r["bins"] < r["began"] for r in report)
+    rows = packing.pack(items, 500, how).collect()
+    assert len({r["sequence_id"] for r in rows}) <= sum(r["bins"] for r in report)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == len(sizes) and all(sum(n for _, n in p) <= 500 for p in places.values())
 
 
 def check_packing(rows, docs, tokenizer, length):
