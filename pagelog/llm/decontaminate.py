@@ -2,16 +2,22 @@
 
 Words are canonicalised: numbers (in digits or words), names and units become typed placeholders, the rest
 is lower-cased without outer punctuation. Windows of such words are hashed; documents and benchmark items
-that share windows are joined on the hash. A shared window counts if its slots are consistent: within a
-document and item, every slot value of the item must always meet the same value in the document. So a
-question asked again with other numbers or names is found, and prose that merely has the same shape isn't.
-Windows of the case-folded words themselves stand beside these, so verbatim copies are found whatever
-their number of slots or their case. Items shorter than a window are found as a whole.
+that share windows are joined on the hash. A capital that begins a sentence may or may not be a name, and in
+some languages every noun has one, so a window is hashed by up to three templates: with the capitals inside
+of sentences as names, with those at their beginning as well, and with numbers and units only. Windows of
+the case-folded words themselves stand beside these, so verbatim copies are found whatever their number of
+slots or their case. Items shorter than a window are found as a whole.
+
+The windows that a document shares with an item at about the same shift (so a word may be put in or left out)
+are one occurrence. Its slots must be consistent: every value of the item stands for one value of the
+document and the other way round, by majority; windows that say otherwise don't count. So a question asked
+again with other numbers or names is found, and prose that merely has the same shape isn't.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,19 +43,21 @@ UNIT_WORDS = frozenset(
 NUMBER, NAME, UNIT = 1, 2, 3
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|st|nd|rd|th)?")
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’„…*_|#~–—-$&%"
-#: Bits of the map that keeps documents' other windows off the shuffle: 2 MB, however large the benchmark is.
+#: Bits of the map that keeps documents' other windows off the shuffle: 2 MB, however large the benchmark is. Two bits stand for a hash.
 FILTER_BITS = 24
 
 
 @dataclass(frozen=True)
 class Rules:
     """window: words in a window; of these at least literals must not be placeholders. An item is found in a
-    document if consistent windows cover at least cover of its words, or least_run words in a row."""
+    document if consistent windows cover at least cover of its words, or least_run words in a row. slack: words
+    that an occurrence may have more or fewer than the item at least; up to twice as many may be found."""
 
     window: int = 8
     literals: int = 5
     cover: float = 0.5
     least_run: int = 13
+    slack: int = 8
 
 
 def slot_of(word: str) -> tuple[int, str]:
@@ -87,28 +95,37 @@ def _describe(words: list[str]) -> np.ndarray:
     return out
 
 
+class Words:
+    """Arrays with an entry for each word of some texts: its text's number, its type (0: a literal), a code of its value
+    and whether it is a literal with a capital at the beginning of a sentence."""
+
+    def __init__(self, owner: np.ndarray, kind: np.ndarray, value: np.ndarray, initial: np.ndarray):
+        self.owner, self.kind, self.value, self.initial = owner, kind, value, initial
+
+    def slots(self) -> list[np.ndarray]:
+        """By template, the type of each word's placeholder, or 0."""
+        return [self.kind, np.where(self.initial, np.int8(NAME), self.kind), np.where(self.kind == NAME, np.int8(0), self.kind)]
+
+
 class Canonical:
-    """Turns texts into arrays with an entry for each word: its text's number, a code (equal for equal
-    literals, and for slots of a type), its type and the code of its value. Words without letters or
-    digits vanish."""
+    """Turns texts into words. Those without letters or digits vanish."""
 
     def __init__(self):
         self._words = WordTable(_describe)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str]) -> Words:
         words = [t.split() for t in texts]
         ids = self._words.ids(words)
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
         if not len(ids):
-            return owner, np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.uint64)
+            return Words(owner, np.empty(0, np.int8), np.empty(0, np.uint64), np.empty(0, bool))
         rows = self._words.table[ids]
         kind, value = rows["kind"].copy(), rows["value"]
         begins = np.ones(len(ids), dtype=bool)  # of a sentence
         begins[1:] = rows["ends"][:-1] | (owner[1:] != owner[:-1])
         kind[rows["capital"] & ~begins] = NAME
         real = kind >= 0
-        owner, kind, value = owner[real], kind[real], value[real]
-        return owner, np.where(kind > 0, kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), value), kind, value
+        return Words(owner[real], kind[real], value[real], (rows["capital"] & begins)[real])
 
 
 _EXACT = np.uint64(0x5851F42D4C957F2D)
@@ -124,35 +141,49 @@ def _hashes(code: np.ndarray, w: int) -> np.ndarray:
     return h ^ np.uint64(w)
 
 
-def windows(owner: np.ndarray, code: np.ndarray, kind: np.ndarray, value: np.ndarray, rules: Rules, short: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
-    """(places in the arrays, hashes, words, exact) of windows, none over two texts: those of canonical words
-    with enough literals, and exact ones of the words themselves. short: further lengths, below a window's;
-    None: a text of fewer words than a window is one window."""
+def windows(words: Words, rules: Rules, short: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray | None]]:
+    """(places in the arrays, hashes, words, slot types) of windows, none over two texts: exact ones of the words
+    themselves (without types), and by each template those with a slot and enough literals. short: further
+    lengths, below a window's; None: a text of fewer words than a window is one window."""
+    owner, value = words.owner, words.value
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     sizes = np.diff(np.append(first, len(owner)))
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
     whole = short is None
+    templates = []
+    for k, slot in enumerate(words.slots()):
+        changed = slot > 0 if not k else slot != words.kind
+        templates.append((slot, np.where(slot > 0, slot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), value), _sums(slot > 0), _sums(changed)))
     for w in [rules.window, *(np.unique(sizes[sizes < rules.window]).tolist() if whole else short)]:
-        if len(code) < w:
+        if len(owner) < w:
             continue
         inside = owner[: len(owner) - w + 1] == owner[w - 1 :]
         if whole and w < rules.window:
             only = np.zeros(len(owner), dtype=bool)
             only[first[sizes == w]] = True
             inside &= only[: len(inside)]
-        good = np.flatnonzero(inside & (literal[w:] - literal[:-w] >= min(rules.literals, w)))
-        yield good, _hashes(code, w)[good], w, False
         at = np.flatnonzero(inside)
-        yield at, (_hashes(value, w) ^ _EXACT)[at], w, True
+        yield at, (_hashes(value, w) ^ _EXACT)[at], w, None
+        for slot, code, slotted, changed in templates:
+            n = slotted[w:] - slotted[:-w]
+            # the other templates only where they differ from the first
+            good = np.flatnonzero(inside & (n > 0) & (w - n >= min(rules.literals, w)) & (changed[w:] - changed[:-w] > 0))
+            if len(good):
+                yield good, _hashes(code, w)[good], w, slot
+
+
+def _sums(mark: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(mark)])
 
 
 _WINDOW = "owner long, at int, h long, slots array<long>, exact boolean"
 
 
 def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, short: list[int] | None) -> DataFrame:
-    """Rows (owner, at, h, slots, exact) of df(owner, text). known: a bit map of the hashes that are wanted.
-    slots are the windows' slot values, in order. Without short, size adds the number of the text's words."""
+    """Rows (owner, at, h, slots, exact) of df(owner, text). known: a bit map of the hashes that are wanted. slots
+    are the windows' slot values, in order; of exact windows those by the first template. Without short, size
+    adds the number of the text's words."""
     size = short is None
+    low = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
@@ -165,41 +196,72 @@ def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, short: list[
                     columns = list(zip(*rows, strict=True))[: 5 + size]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "at", "h", "slots", "exact", "size"][: 5 + size])
 
-    def _rows(arrays, names):
-        owner, code, kind, value = arrays
-        first = np.searchsorted(owner, np.arange(len(names) + 1))
-        for at, h, w, exact in windows(owner, code, kind, value, rules, short):
+    def has(bit: np.ndarray) -> np.ndarray:
+        return known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+    def _rows(words: Words, names):
+        value = words.value
+        first = np.searchsorted(words.owner, np.arange(len(names) + 1))
+        for at, h, w, slot in windows(words, rules, short):
             if known is not None:
-                bit = h & np.uint64((1 << FILTER_BITS) - 1)
-                wanted = known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+                wanted = has(h & low) & has(h >> np.uint64(FILTER_BITS) & low)
                 at, h = at[wanted], h[wanted]
+            kind = words.kind if slot is None else slot
             for x, y in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True):
-                k = int(owner[x])
+                k = int(words.owner[x])
                 slots = value[x : x + w][kind[x : x + w] > 0].astype(np.int64).tolist()
-                yield names[k], x - int(first[k]), y, slots, exact, int(first[k + 1] - first[k])
+                yield names[k], x - int(first[k]), y, slots, slot is None, int(first[k + 1] - first[k])
 
     return df.mapInArrow(run, _WINDOW + (", size int" if size else ""))
 
 
 def _bit_map(items: DataFrame) -> np.ndarray:
-    """The hashes' low bits as a map of fixed size; at most 2**18 numbers come to the driver."""
-    low = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = items.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()
+    """Two parts of each hash as bits of a map of fixed size; at most 2**18 numbers come to the driver."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    bits = items.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftright("h", FILTER_BITS).bitwiseAND(mask))).alias("b"))
+    words = bits.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()
     found = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
     for r in words:
         found[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
     return found.astype("<u8").view(np.uint8)
 
 
+def occurrence(met: Iterable[tuple[int, list[int], list[int]]], size: int, window: int) -> tuple[int, int, int]:
+    """(words covered, longest run, changed slot values) of an item of size words by the windows met, each with its
+    place in the item and the slot values of both sides.
+
+    Pairs of values are accepted by how many windows say so, each value once on either side; a window with
+    another pair doesn't count."""
+    met = list(met)
+    counts = Counter(pair for _, ours, theirs in met for pair in set(zip(ours, theirs, strict=True)))
+    there, back = {}, {}
+    for (i, d), _ in sorted(counts.items(), key=lambda c: (-c[1], c[0][0] != c[0][1], c[0])):
+        if i not in there and d not in back:
+            there[i], back[d] = d, i
+    mark = np.zeros(size + 1, dtype=np.int64)
+    used = set()
+    w = min(window, size)
+    for at, ours, theirs in met:
+        if all(there.get(i) == d for i, d in zip(ours, theirs, strict=True)):
+            mark[at] += 1
+            mark[at + w] -= 1
+            used.update(ours)
+    inside = np.cumsum(mark[:size]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    return int(inside.sum()), int((edges[1::2] - edges[::2]).max(initial=0)), sum(there[i] != i for i in used)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, item_id, covered, longest_run, size, changed_slots): documents with the benchmark items found
     in them, how many of the item's words consistent windows cover, the longest run of them, the item's
     words, and how many of its slot values are other ones in the document.
 
     docs has doc_id and text, benchmark item_id and text; further columns are ignored. Null or empty texts
-    have no windows; a null doc_id or item_id is kept as such; repeated rows count once. Whole texts are
-    windowed; only windows in a bit map of fixed size leave their task, and they are joined by hash, where
-    adaptive execution splits a passage that very many documents share.
+    have no windows; a null doc_id or item_id is kept as such; repeated rows count once. An item of fewer
+    words than a window is found where all of them stand in a row, once if equally good places are many.
+    Whole texts are windowed; only windows in a bit map of fixed size leave their task, and they are joined by
+    hash, where adaptive execution splits a passage that very many documents share. The result has a row for
+    each document and item that meet, so it grows with the documents that hold the items.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.save(_explode(own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("owner"), "text"), rules, None, None), "items")
@@ -208,36 +270,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     ours = _explode(own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("owner"), "text"), rules, known, short)
     item_side = items.select(F.col("owner").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "size", F.col("exact").alias("item_exact")).distinct()
     met = ours.select(F.col("owner").alias("doc_id"), "at", "h", "slots", "exact").join(item_side, "h").where("exact = item_exact")
-    # windows of one alignment (same shift) belong to one occurrence; its slots must agree throughout
-    met = met.withColumn("shift", F.col("at") - F.col("item_at")).where(F.col("exact") | (F.size("slots") == F.size("item_slots")))
+    met = met.where(F.col("exact") | (F.size("slots") == F.size("item_slots")))
     # the words of exact windows are the same, whatever their case makes of them
     met = met.withColumn("slots", F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots")))
-    # by templates alone, and with exact windows beside them
-    met = met.withColumn("beside", F.explode(F.when(F.col("exact"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))))
-    found = met.groupBy("doc_id", "item_id", "shift", "size", "beside").agg(F.collect_set("item_at").alias("places"), pairs.alias("pairs"))
-    # a consistent occurrence maps each of the item's values to one value only
-    one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
+    # two rows of stretches of shifts, half a stretch apart: shifts that differ by slack at most have one in common
+    shift = F.col("at") - F.col("item_at") + F.lit(1 << 24)
+    stretches = F.array(*[F.floor((shift + k * rules.slack) / (2 * rules.slack)).cast("long") * 2 + k for k in (0, 1)])
+    met = met.withColumn("stretch", F.explode(stretches))
+    found = met.groupBy("doc_id", "item_id", "size", "stretch").agg(F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("met"))
     window = rules.window
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            covered, runs = [], []
-            for places, size in zip(batch.column("places").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                mark = np.zeros(size + 1, dtype=np.int64)
-                w = min(window, size)
-                for p in places:
-                    mark[p] += 1
-                    mark[p + w] -= 1
-                inside = np.cumsum(mark[:size]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-                covered.append(int(inside.sum()))
-                runs.append(int((edges[1::2] - edges[::2]).max(initial=0)))
-            kept = [batch.column(c) for c in ("doc_id", "item_id", "size", "changed_slots")]
-            yield pa.RecordBatch.from_arrays([*kept[:2], pa.array(covered, pa.int32()), pa.array(runs, pa.int32()), *kept[2:]], names=["doc_id", "item_id", "covered", "longest_run", "size", "changed_slots"])
-
-    changed = F.size(F.filter("pairs", lambda p: p["i"] != p["d"])).alias("changed_slots")
-    measured = found.where(one_to_one).select("doc_id", "item_id", "size", "places", changed).mapInArrow(run, "doc_id long, item_id long, covered int, longest_run int, size int, changed_slots int")
+            measured = []
+            for met, size in zip(batch.column("met").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                measured.append(occurrence([(m["item_at"], m["item_slots"], m["slots"]) for m in met], size, window))
+            columns = [pa.array(c, pa.int32()) for c in zip(*measured, strict=True)] if measured else [pa.array([], pa.int32())] * 3
+            kept = [batch.column(c) for c in ("doc_id", "item_id", "size")]
+            yield pa.RecordBatch.from_arrays([*kept[:2], *columns[:2], kept[2], columns[2]], names=["doc_id", "item_id", "covered", "longest_run", "size", "changed_slots"])
+
+    measured = found.select("doc_id", "item_id", "size", "met").mapInArrow(run, "doc_id long, item_id long, covered int, longest_run int, size int, changed_slots int")
     best = F.struct("covered", "longest_run", -F.col("changed_slots"))
     return (
         measured.where((F.col("covered") >= rules.cover * F.col("size")) | (F.col("longest_run") >= rules.least_run))

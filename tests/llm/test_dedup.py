@@ -245,15 +245,130 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.where("false"), b).count() == 0 and decontaminate.contaminated(d, b.where("false")).count() == 0
 
 
+def found_in(spark, items, docs, rules=decontaminate.Rules()):
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(d, b, rules).collect()}
+
+
 def test_inconsistent_slots(spark):
-    """The same shape with slots that say two things for one isn't the same question."""
-    item = "first we take 5 red balls and then we add 5 blue balls so that the box holds many of them at last"
-    same = item.replace("5", "8")
-    other = item.replace("5", "8", 1)
-    b = spark.createDataFrame([(1, item)], "item_id long, text string")
-    rules = decontaminate.Rules(window=14)
-    d = spark.createDataFrame([(1, same), (2, other)], "doc_id long, text string")
-    assert [r["doc_id"] for r in decontaminate.contaminated(d, b, rules).collect()] == [1]
+    """The same shape with slots that say two things for one, or one thing for two, isn't the same question; but what
+    agrees in the rest of an item counts."""
+    item = "first we take 5 red balls out of it, then 5 blue balls into it, then 7 old cups out of it, then 7 tall cups"
+    docs = {
+        1: item.replace("5", "8").replace("7", "9"),
+        2: "first we take 1 red balls out of it, then 2 blue balls into it, then 3 old cups out of it, then 4 tall cups",
+        3: item.replace("7", "5"),  # both of its values are one here
+        4: "so that the box holds many of them at last and nobody asks about the colours " + item.replace("5", "8", 1) + " at the end of the long day in the old town",
+    }
+    rules = decontaminate.Rules(window=10, cover=0.9, least_run=99)
+    assert {k for k, _ in found_in(spark, {1: item}, docs, rules)} == {1}
+    # a run of the same words in a row is found whatever is said elsewhere
+    long = item + " and in the end nobody could tell how many of the things were left in the box"
+    got = found_in(spark, {1: long}, {1: long.replace("5", "8", 1), 2: FILL})
+    assert set(got) == {(1, 1)} and got[(1, 1)]["longest_run"] >= 13
+
+
+def test_names_that_begin_sentences(spark):
+    """A sentence's first word may be a name, and in German every noun has a capital."""
+    item = "Anna went to the old market and bought apples for everyone. Tomorrow Anna pays 12 coins."
+    german = "Der Bauer verkauft auf dem Markt am Morgen genau 40 Eier und kauft danach mit dem Geld noch 3 Brote"
+    docs = {
+        1: f"{FILL}. {item.replace('Anna', 'Maria')} {FILL}",
+        2: f"{FILL} yesterday Maria went to the old market and bought apples for everyone. Tomorrow Maria pays 9 coins. {FILL}",
+        3: f"{FILL}. {german.replace('40', '55').replace('3', '6')}. {FILL}",
+        4: f"{FILL}. {item.lower()}",
+        5: FILL,
+    }
+    got = found_in(spark, {1: item, 2: german}, docs)
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 1)} and got[(1, 1)]["changed_slots"] >= 1
+
+
+def test_words_put_in_or_left_out(spark):
+    words = ITEM.split()
+    docs = {
+        1: " ".join([*words[:14], "really", *words[14:]]),
+        2: " ".join([*words[:9], *words[10:20], "and", "so", "on", *words[20:]]),
+        3: " ".join([FILL, *words[:12], FILL, *words[12:]]),  # parts far from each other are occurrences of their own
+        4: " ".join(words[:7] + ["x"] + words[7:14] + ["x"] + words[14:21] + ["x"] + words[21:]),
+    }
+    got = found_in(spark, {1: ITEM}, docs)
+    assert {1, 2} <= {k for k, _ in got} and (4, 1) not in got
+    assert got[(1, 1)]["covered"] == len(words) == got[(2, 1)]["covered"] + 1 == got[(1, 1)]["size"]
+
+
+def plain_templates(text):
+    """Per word of a text its value and its placeholders by template, one word after the other."""
+    out, begins = [], True
+    for raw in text.split():
+        kind, value = decontaminate.slot_of(raw)
+        capital = kind == 0 and raw.lstrip(decontaminate._EDGES)[:1].isupper()
+        if value:
+            name = 2 if capital and not begins else kind
+            out.append((value.casefold(), (name, 2 if capital else kind, kind)))
+        begins = raw.rstrip("\"')]}»”’")[-1:] in {".", "!", "?", ":"}
+    return out
+
+
+def plain_contaminated(doc, item, rules):
+    d, i = plain_templates(doc), plain_templates(item)
+    w = min(rules.window, len(i))
+    met = []
+    for x in range(len(d) - w + 1):
+        for y in range(len(i) - w + 1) if w else ():
+            a, b = d[x : x + w], i[y : y + w]
+            if [v for v, _ in a] == [v for v, _ in b]:
+                slots = [v for v, k in b if k[0]]
+                met.append((x - y, (y, slots, slots)))
+            for s in range(3):
+                for t in range(3):
+                    mine = [k[s] or v for v, k in a]
+                    n = sum(k[s] > 0 for _, k in a)
+                    if n and w - n >= min(rules.literals, w) and mine == [k[t] or v for v, k in b]:
+                        met.append((x - y, (y, [v for v, k in b if k[t]], [v for v, k in a if k[s]])))
+    for half in (0, 1):
+        stretches = {}
+        for shift, m in met:
+            stretches.setdefault((shift + (1 << 24) + half * rules.slack) // (2 * rules.slack), []).append(m)
+        for some in stretches.values():
+            unique = [m for k, m in enumerate(some) if m not in some[:k]]
+            covered, run, _ = decontaminate.occurrence(unique, len(i), rules.window)
+            if covered >= rules.cover * len(i) or run >= rules.least_run:
+                return True
+    return False
+
+
+def test_against_plain_windows(spark):
+    """Random documents and items, and the recall of items asked again with other numbers and names."""
+    rnd = random.Random(8)
+    names, units = ["Anna", "Maria", "Tom", "Berlin", "Lee"], ["kg", "miles", "dollars"]
+    plain = "the a of old house went market bought and then with some apples home while it rained many people saw him there what how".split()
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            r = rnd.random()
+            out.append(rnd.choice(names) if r < 0.08 else str(rnd.randrange(2, 90)) if r < 0.16 else rnd.choice(units) if r < 0.2 else rnd.choice(plain))
+        return " ".join(out).capitalize() + rnd.choice([".", "?", "!"])
+
+    items = {k: " ".join(sentence(rnd.randint(7, 18)) for _ in range(rnd.randint(1, 3))) for k in range(40)}
+    docs, planted = {}, set()
+    for k in range(120):
+        body = [sentence(rnd.randint(5, 20)) for _ in range(rnd.randint(1, 6))]
+        if k < 80:
+            item = k % 40
+            to = dict(zip(names, rnd.sample(["Clara", "Peter", "Zoe", "Madrid", "Kim"], 5), strict=True))
+            values = {str(v): str(n) for v, n in zip(range(2, 90), rnd.sample(range(100, 900), 88), strict=True)}
+            again = " ".join(to.get(x.strip(".?!"), values.get(x.strip(".?!"), x)) if x.strip(".?!") in to or x.strip(".?!") in values else x for x in items[item].split())
+            body.insert(rnd.randrange(len(body) + 1), again if again[-1] in ".?!" else again + ".")
+            planted.add((k, item))
+        docs[k] = " ".join(body)
+    got = set(found_in(spark, items, docs))
+    rules = decontaminate.Rules()
+    assert got == {(d, i) for d, doc in docs.items() for i, item in items.items() if plain_contaminated(doc, item, rules)}
+    recall = len(got & planted) / len(planted)
+    print(f"recall of re-parameterised items {recall:.2f}, others found {len(got - planted)}")
+    assert recall >= 0.9 and len(got - planted) <= 2
 
 
 def test_short_items(spark):
