@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pagelog.llm.common import Scratch, own_columns
 
 SITES, LEAST_CHARS, SKETCH_BITS = 8, 20, 12
-LAST = 2**63 - 1
 
 
 def _clean(line: Column) -> Column:
@@ -29,7 +28,8 @@ def _hash(line: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(h, first_doc) for each line on at least so many distinct sources; first_doc is its smallest doc_id."""
+    """(h, first_doc) for each line on at least so many distinct sources; first_doc is the smallest doc_id that has
+    it, as a struct in which a null one comes last."""
     lines = _lines(docs, least_chars)
     sketched = Scratch(docs.sparkSession, "lines").save(
         lines.groupBy("h").agg(F.hll_sketch_agg("site", sketch_bits).alias("sketch"), F.min("id").alias("first_doc")).select(
@@ -58,53 +58,55 @@ def _high(sites: int, sketch_bits: int) -> int:
     return math.ceil(sites + _margin(sites, sketch_bits))
 
 
+def _id() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"))
+
+
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(h, site, id) for each line that is long enough. A null source counts as a site of its own."""
-    each = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("\x00null")).alias("site"),
-        F.explode(F.split("text", "\n")).alias("line"),
-    )
-    return each.withColumn("line", _clean(F.col("line"))).where(F.length("line") >= least_chars).select(_hash(F.col("line")).alias("h"), "site", "id")
+    """(h, site, id, of, at) for each line that is long enough: its hash, its document's id and text hash, and its
+    place. A null source counts as a site of its own."""
+    # the text is hashed before it is taken apart: once, not for each of its lines
+    whole = docs.select(_id().alias("id"), _hash(F.col("text")).alias("of"), F.coalesce(F.col("source").cast("string"), F.lit("\x00null")).alias("site"), "text")
+    each = whole.select("id", "of", "site", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return each.withColumn("line", _clean(F.col("line"))).where(F.length("line") >= least_chars).select(_hash(F.col("line")).alias("h"), "site", "id", "of", "at")
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, least_chars: int = LEAST_CHARS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """docs with boilerplate lines taken out of text, n_chars set anew, and n_removed (long): how many lines went.
 
-    docs needs doc_id, text and source; any other columns are kept. A line of at least least_chars
-    characters on at least so many sources is boilerplate. Its first occurrence stays: in the document
-    with the smallest doc_id (a null id comes last), at its first place there; so nothing is lost whole,
-    and rows that repeat a doc_id keep it each. A null text stays null with nothing removed; lines keep
-    their order and their outer white space; documents stay, even emptied ones.
+    docs needs doc_id, text and source; any other columns are kept, whatever their names, but for one named
+    n_removed, which is replaced. A line of at least least_chars characters on at least so many sources is
+    boilerplate. Its first occurrence stays: in the document with the smallest doc_id (a null id comes last), at
+    its first place there; so nothing is lost whole, and rows that repeat a doc_id keep it each. A null text
+    stays null with nothing removed; lines keep their order and their outer white space; documents stay, even
+    emptied ones. Work is linear in a text's lines, and documents meet their lines by id and text, so rows
+    without an id are spread as well.
     """
     slim = own_columns(docs, "doc_id", "text", "source")
     boilerplate = Scratch(docs.sparkSession, "lines").save(boilerplate_lines(slim, sites, least_chars, sketch_bits), "boilerplate")
-    found = _lines(slim, least_chars).join(boilerplate, "h").groupBy("id", "h").agg(F.first("first_doc").alias("first_doc"))
-    by_doc = found.groupBy("id").agg(
-        F.collect_list(F.when(F.col("first_doc") != F.col("id"), F.col("h"))).alias("gone"),
-        F.collect_list(F.when(F.col("first_doc") == F.col("id"), F.col("h"))).alias("once"),
-    )
-    names = [c for c in docs.columns if c != "n_removed"]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("__id"))
-    joined = keyed.join(by_doc.withColumnRenamed("id", "__id"), "__id", "left")
-    lines = F.split("text", "\n")
-    hashes = F.transform(lines, lambda line: _hash(_clean(line)))
-    kept = F.filter(
-        lines,
-        lambda line, i: ~F.array_contains("gone", F.element_at("__h", i + 1)) & (~F.array_contains("once", F.element_at("__h", i + 1)) | (F.array_position("__h", F.element_at("__h", i + 1)) == i + 1)),
+    hits = _lines(slim, least_chars).join(boilerplate, "h")
+    first = F.col("first_doc") == F.col("id")
+    by_doc = hits.groupBy("id", "of").agg(
+        F.collect_set(F.when(~first, F.col("at"))).alias("gone"), F.array_sort(F.collect_set(F.when(first, F.struct("h", "at")))).alias("own")
     )
-    marked = joined.withColumn("__h", F.when(F.col("gone").isNotNull(), hashes)).withColumn("__kept", F.when(F.col("gone").isNotNull(), kept))
-    text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    removed = F.when(F.col("__kept").isNotNull(), F.size("__h") - F.size("__kept")).otherwise(0).cast("long")
+    # of a line's places in its first document those behind another one go as well
+    before = F.concat(F.array(F.lit(None)), F.slice("own", 1, F.greatest(F.size("own") - 1, F.lit(0))))
+    again = F.filter(F.arrays_zip(F.col("own").alias("x"), before.alias("y")), lambda p: p["x"]["h"] == p["y"]["h"])
+    places = by_doc.select("id", "of", F.concat("gone", F.transform(again, lambda p: p["x"]["at"])).alias("gone"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_removed"]).alias("row"), _id().alias("id"), _hash(F.col("text")).alias("of"))
+    joined = given.join(places, ["id", "of"], "left").select("row", F.split("row.text", "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.size("gone") > 0, F.array_join(F.transform(kept, lambda k: F.get("lines", k)), "\n")).otherwise(F.col("row.text"))
+    cut = joined.select("row", text.alias("text"), F.size("gone").cast("long").alias("n_removed"))
     out = []
-    for c in names:
+    for c in docs.columns:
         if c == "text":
-            out.append(text.alias("text"))
+            out.append(F.col("text"))
         elif c == "n_chars":
-            out.append(F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return marked.select(*out, removed.alias("n_removed"))
+            out.append(F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+        elif c != "n_removed":
+            out.append(F.col("row").getField(c).alias(c))
+    return cut.select(*out, "n_removed")
 
 
 #: The same in DuckDB's SQL, with exact counts throughout.

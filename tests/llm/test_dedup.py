@@ -94,13 +94,30 @@ def test_line_dedup(spark, bits):
     lines = [f"this is a shared line number {k}" for k in range(30)]
     rows = [(k, "\n".join(rnd.choice([*lines, f"own line of {k} that nobody else has", "short", "", "  this is a shared line number 3\t"]) for _ in range(rnd.randint(1, 12))), f"s{k % 13}") for k in range(80)]
     rows += [(5, "this is a shared line number 1\nthis is a shared line number 1", "s1"), (None, "this is a shared line number 2", None), (101, None, "s2"), (102, "", "s3"), (103, "x" * 200_000, "s4")]
-    df = spark.createDataFrame([(i, t, "en", s, 5, 9) for i, t, s in rows], DOCS + ", n_removed long")
+    rows += [(2**63 - 1, "this is a shared line number 2\nthis is a shared line number 4\nthis is a shared line number 2", "s5"), (0, "x", "s1"), (0, "a line of zero\nthis is a shared line number 5", "s1")]
+    names = "gone string, once int, __id long, `row` string, own int, h string, `a.b` int"
+    df = spark.createDataFrame([(i, t, "en", s, 5, 9, "g", 1, 2, "r", 3, "h", 4) for i, t, s in rows], f"{DOCS}, n_removed long, {names}")
     got = line_dedup.dedup_lines(df, sites=8, least_chars=20, sketch_bits=bits)
     assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=str) == plain_lines(rows, 8, 20)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_removed"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone", "once", "__id", "row", "own", "h", "a.b", "n_removed"]
+    assert {tuple(r[5:12]) for r in got.collect()} == {("g", 1, 2, "r", 3, "h", 4)}
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got.collect())
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_many_lines(spark):
+    """Work grows with a document's lines, not their square."""
+    import time
+
+    n = 60_000
+    lines = [f"this line number {k} stands everywhere" for k in range(n)]
+    df = spark.createDataFrame([(k, "\n".join(lines + lines[:10]), "en", f"s{k}", 1) for k in range(9)], DOCS)
+    began = time.time()
+    got = {r["doc_id"]: (r["n_removed"], r["n_chars"]) for r in line_dedup.dedup_lines(df).select("doc_id", "n_removed", "n_chars").collect()}
+    assert got == {0: (10, len("\n".join(lines)))} | {k: (n + 10, 0) for k in range(1, 9)}
+    assert time.time() - began < 120
+
+
 def test_line_dedup_is_native(spark):
     df = spark.createDataFrame([(1, "a", "en", "s", 1)], DOCS)
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
