@@ -23,8 +23,8 @@ from pagelog.llm.common import own_columns
 from pagelog.llm.words import strides
 
 WINDOW = 32
-#: Rows for each range of doc_ids, and the most ranges.
-ROWS_A_RANGE, MOST_RANGES = 1024, 20_000
+#: Rows for each range of doc_ids, the most ranges, and bytes of text for each task that reads some of them.
+ROWS_A_RANGE, MOST_RANGES, TASK_BYTES = 1024, 100_000, 16 << 20
 
 
 def _gear_table() -> np.ndarray:
@@ -143,53 +143,71 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _ranges(ids: DataFrame, rows_a_range: int) -> tuple[np.ndarray, int]:
-    """Bounds that cut the ids into even ranges: at most MOST_RANGES numbers, however many ids there are."""
-    n = ids.count()
+def _ranges(rows: DataFrame, rows_a_range: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bounds of id, bounds of tie, bytes of text): bounds that cut the rows, by id and then tie, into even ranges; at
+    most MOST_RANGES of them, however many rows there are. An id with very many rows is cut by its ties, which are
+    hashes, so even parts of their range are even parts of the rows."""
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(1, min(n // rows_a_range, MOST_RANGES))
     if parts == 1:
-        return np.empty(0, np.int64), n
+        return np.empty(0, np.int64), np.empty(0, np.int64), size or 0
     shares = [k / parts for k in range(1, parts)]
-    found = ids.agg(F.percentile_approx("id", shares, max(10_000, 4 * parts))).first()[0]
-    return np.unique(np.array(found, dtype=np.int64)), n
+    found = np.array(rows.agg(F.percentile_approx("id", shares, max(10_000, 2 * parts))).first()[0], dtype=np.int64)
+    ids, counts = np.unique(found, return_counts=True)
+    ties = np.concatenate([[-(2**63) + (k << 64) // m for k in range(m)] for m in counts.tolist()]).astype(np.int64)
+    return np.repeat(ids, counts), ties, size or 0
 
 
-def fingerprint_documents(docs: DataFrame, chunking: Chunking = Chunking(), rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+def _place(ids: np.ndarray, ties: np.ndarray, id_: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many of the bounds lie at or before each (id, tie)."""
+    low, high = np.searchsorted(ids, id_, side="left"), np.searchsorted(ids, id_, side="right")
+    for k in np.unique(id_[high > low]).tolist():  # ids that are bounds themselves
+        at = np.flatnonzero(id_ == k)
+        a, b = int(low[at[0]]), int(high[at[0]])
+        high[at] = a + np.searchsorted(ties[a:b], tie[at], side="right")
+    return high
+
+
+def fingerprint_documents(docs: DataFrame, chunking: Chunking = Chunking(), rows_a_range: int = ROWS_A_RANGE, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row for each row of docs(doc_id, text) with the fingerprints of its text and of its edited text,
     whose second half comes from the next document.
 
-    Next is by ascending doc_id, a null id before all others, equal ids by text; after the last comes the
-    first. A null text counts as empty; further columns are ignored; an only row follows itself.
-    The rows are dealt by ranges of doc_id, the text moves once; the first row of each range also goes
-    to the range before. A task reads its ranges in order and holds one Arrow batch; some
-    megabytes of it are chunked at a time.
+    Next is by ascending doc_id, a null id before all others, equal ids by a hash of the text and by the text;
+    after the last comes the first. A null text counts as empty; further columns are ignored; an only row
+    follows itself. The rows are dealt by ranges of doc_id (and of that hash, where very many rows have one id),
+    the text moves once, to as many tasks as its bytes ask for; the first row of each range also goes to the
+    range before. A task reads its ranges in order and holds one Arrow batch; some megabytes of it are chunked
+    at a time.
     """
     least = -(2**63)
-    given = own_columns(docs, "doc_id", "text")
-    ids = given.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"))
-    bounds, n = _ranges(ids, rows_a_range)
+    given = own_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    keyed = given.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn("tie", F.xxhash64("text"))
+    bound_ids, bound_ties, size = _ranges(keyed, rows_a_range)
 
     @F.pandas_udf(LongType())
-    def range_of(id_):
-        return pd_series(np.searchsorted(bounds, id_.to_numpy(), side="right"))
+    def range_of(id_, tie):
+        return pd_series(_place(bound_ids, bound_ties, id_.to_numpy(), tie.to_numpy()))
 
-    firsts = ids.withColumn("part", range_of("id")).groupBy("part").agg(F.min("id").alias("first")).orderBy("part").collect()  # at most MOST_RANGES rows
-    before = {r["first"]: firsts[k - 1]["part"] for k, r in enumerate(firsts)}  # of the first range the last
-    keys = np.array(sorted(before), dtype=np.int64)
-    where = np.array([before[k] for k in keys.tolist()], dtype=np.int64)
+    rows = keyed.withColumn("part", range_of("id", "tie"))
+    firsts = rows.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("first")).orderBy("part").collect()  # at most MOST_RANGES rows
+    before = {tuple(r["first"]): firsts[k - 1]["part"] for k, r in enumerate(firsts)}  # of the first range the last
+    keys = sorted(before)
+    key_ids, key_ties = np.array([k[0] for k in keys], dtype=np.int64), np.array([k[1] for k in keys], dtype=np.int64)
+    where = np.array([before[k] for k in keys], dtype=np.int64)
 
     @F.pandas_udf(LongType())
-    def also_in(id_):
-        at = np.minimum(np.searchsorted(keys, id_.to_numpy()), len(keys) - 1)
-        return pd_series(np.where(keys[at] == id_.to_numpy(), where[at], -1)) if len(keys) else pd_series(np.full(len(id_), -1))
+    def also_in(id_, tie):
+        id_, tie = id_.to_numpy(), tie.to_numpy()
+        at = np.maximum(_place(key_ids, key_ties, id_, tie) - 1, 0)
+        return pd_series(np.where((key_ids[at] == id_) & (key_ties[at] == tie), where[at], -1) if len(keys) else np.full(len(id_), -1))
 
-    rows = given.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("part", range_of("id")).withColumn("also", also_in("id"))
+    rows = rows.withColumn("also", also_in("id", "tie"))
     places = F.when(F.col("also") < 0, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("part"), F.lit(True).alias("extra")))
     )
-    dealt = rows.select("doc_id", "id", "text", F.explode(places).alias("place")).select("doc_id", "id", "text", "place.part", "place.extra")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "extra", "id", "text").select("doc_id", "text", "part", "extra")
+    dealt = rows.select("doc_id", "id", "tie", "text", F.explode(places).alias("place")).select("doc_id", "id", "tie", "text", "place.part", "place.extra")
+    tasks = max(-(-size // task_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size > task_bytes else 1)
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "extra", "id", "tie", "text").select("doc_id", "text", "part", "extra")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
