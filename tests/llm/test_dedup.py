@@ -41,16 +41,47 @@ def test_store(spark, tmp_path):
     assert rows(store.read()) == rows(df) == rows(store.read(version - 1))
     # a second writer that saw the same version has to try again
     with pytest.raises(sharding.Conflict):
-        store._commit(version, None, [], "late")
+        store._commit(version - 1, None, [], "late")
     with pytest.raises(sharding.Conflict):
         store.change(lambda now: ([], {"gone"}), None, "x")
-    assert store.vacuum() > 0 and store.versions() == [version]
+    assert store.vacuum() == 0 and store.versions() == [version - 1, version]  # readers of the version before keep their files
+    assert rows(store.read(version - 1)) == rows(df)
+    assert store.vacuum(1) > 0 and store.versions() == [version]
     assert rows(store.read()) == rows(df)
     (tmp_path / "s" / "manifests" / f"{version + 1:020d}.lock").touch()  # a writer died between lock and rename
     with pytest.raises(sharding.Conflict):
         store.append(df)
     store.lock_seconds = 0
-    assert store.append(df) == version + 1 and store.read().count() == 2 * df.count()
+    assert store.append(df) == version + 2 and store.read().count() == 2 * df.count()  # that version is left out
+    # the writer wasn't dead after all: its version came too late and doesn't count
+    (tmp_path / "s" / "manifests" / f"{version + 1:020d}.json").write_text('{"schema": null, "note": "slow", "base": 1, "shards": []}')
+    with pytest.raises(sharding.Conflict):
+        store._settle(version + 1)
+    store._settle(version + 2)
+    assert store.read().count() == 2 * df.count()
+
+
+def test_store_schemas(spark, tmp_path):
+    """Columns may come and go; types may not change, and nothing of a refused arrival stays."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", sharding.Tiers(least=2))
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "x" * 300_000, 5), (None, None, None)], "doc_id long, text string, file int"))
+    store.append(spark.createDataFrame([(3,)], "doc_id long"))
+    for wrong in ("doc_id string", "DOC_ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], wrong))
+    assert store.compact() == 1
+    got = {(r["doc_id"], len(r["text"] or ""), r["file"]) for r in store.read().collect()}
+    assert got == {(1, 1, None), (2, 300_000, 5), (None, 0, None), (3, 0, None)}
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 4  # three arrivals and their merge
+
+
+def test_shard_table_of_any_columns(spark, tmp_path):
+    rows = [(k, None if k % 3 else "", "t" * k, k % 2, "c") for k in range(40)] + [(1, "", "t", 1, "c")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string, `count` int, `a.b` string")
+    store = sharding.shard_table(df, f"file://{tmp_path}/t", tiers=sharding.Tiers(least=2))
+    assert store.read().columns == df.columns and sorted(map(str, store.read().collect())) == sorted(map(str, df.collect()))
+    assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith("incoming")]
 
 
 def test_empty_table(spark, tmp_path):
