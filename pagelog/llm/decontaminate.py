@@ -24,10 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelog.llm.common import Scratch, own_columns, texts_of
+from pagelog.llm.common import Scratch, bit_map, map_iterators, maybe_in, own_columns, texts_of
 from pagelog.llm.words import WordTable, strides
 
 #: Numbers and units as words.
@@ -41,10 +42,10 @@ UNIT_WORDS = frozenset(
     "dollar dollars euro euros cent cents usd eur percent % $ € £ °c °f degrees mph kmh km/h watt watts kw volt volts meter meters metre metres".split()
 )
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Characters of text whose words are held at once.
+STRIDE_CHARS = 500_000
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|st|nd|rd|th)?")
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’„…*_|#~–—-$&%"
-#: Bits of the map that keeps documents' other windows off the shuffle: 2 MB, however large the benchmark is. Two bits stand for a hash.
-FILTER_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ class Canonical:
     """Turns texts into words. Those without letters or digits vanish."""
 
     def __init__(self):
-        self._words = WordTable(_describe)
+        self._words = WordTable(_describe, keep=150_000)
 
     def __call__(self, texts: list[str]) -> Words:
         words = [t.split() for t in texts]
@@ -178,52 +179,42 @@ def _sums(mark: np.ndarray) -> np.ndarray:
 _WINDOW = "owner long, at int, h long, slots array<long>, exact boolean"
 
 
-def _explode(df: DataFrame, rules: Rules, known: np.ndarray | None, short: list[int] | None) -> DataFrame:
+def _explode(df: DataFrame, rules: Rules, known: Broadcast | None, short: list[int] | None) -> DataFrame:
     """Rows (owner, at, h, slots, exact) of df(owner, text). known: a bit map of the hashes that are wanted. slots
     are the windows' slot values, in order; of exact windows those by the first template. Without short, size
     adds the number of the text's words."""
     size = short is None
-    low = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
         for batch in batches:
-            names, texts = batch.column("owner").to_pylist(), texts_of(batch)
-            for a, b in strides([len(t) for t in texts]):
-                rows = list(_rows(canonical(texts[a:b]), names[a:b]))
-                if rows:
-                    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32()][: 5 + size]
-                    columns = list(zip(*rows, strict=True))[: 5 + size]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["owner", "at", "h", "slots", "exact", "size"][: 5 + size])
-
-    def has(bit: np.ndarray) -> np.ndarray:
-        return known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
-
-    def _rows(words: Words, names):
-        value = words.value
-        first = np.searchsorted(words.owner, np.arange(len(names) + 1))
-        for at, h, w, slot in windows(words, rules, short):
-            if known is not None:
-                wanted = has(h & low) & has(h >> np.uint64(FILTER_BITS) & low)
-                at, h = at[wanted], h[wanted]
-            kind = words.kind if slot is None else slot
-            for x, y in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True):
-                k = int(words.owner[x])
-                slots = value[x : x + w][kind[x : x + w] > 0].astype(np.int64).tolist()
-                yield names[k], x - int(first[k]), y, slots, slot is None, int(first[k + 1] - first[k])
-
-    return df.mapInArrow(run, _WINDOW + (", size int" if size else ""))
-
-
-def _bit_map(items: DataFrame) -> np.ndarray:
-    """Two parts of each hash as bits of a map of fixed size; at most 2**18 numbers come to the driver."""
-    mask = F.lit((1 << FILTER_BITS) - 1)
-    bits = items.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftright("h", FILTER_BITS).bitwiseAND(mask))).alias("b"))
-    words = bits.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()
-    found = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    for r in words:
-        found[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return found.astype("<u8").view(np.uint8)
+            names, texts = batch.column("owner"), texts_of(batch)
+            for a, b in strides([len(t) for t in texts], STRIDE_CHARS):
+                words = canonical(texts[a:b])
+                first = np.searchsorted(words.owner, np.arange(b - a + 1))
+                for at, h, w, slot in windows(words, rules, short):
+                    if known is not None:
+                        wanted = maybe_in(known.value, h)
+                        at, h = at[wanted], h[wanted]
+                    if len(at):
+                        yield _batch(words, names.slice(a, b - a), first, at, h, w, slot)
+
+    def _batch(words: Words, names: pa.Array, first: np.ndarray, at: np.ndarray, h: np.ndarray, w: int, slot: np.ndarray | None) -> pa.RecordBatch:
+        mark = (words.kind if slot is None else slot) > 0
+        upto = _sums(mark)
+        counts = upto[at + w] - upto[at]
+        ends = np.cumsum(counts)
+        places = np.flatnonzero(mark)[np.repeat(upto[at] - (ends - counts), counts) + np.arange(ends[-1])]
+        k = words.owner[at]
+        columns = [
+            names.take(pa.array(k)), pa.array((at - first[k]).astype(np.int32)), pa.array(h.astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(words.value[places].astype(np.int64))), pa.array(np.full(len(at), slot is None)),
+        ]
+        if size:
+            columns.append(pa.array((first[k + 1] - first[k]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(columns, names=["owner", "at", "h", "slots", "exact", "size"][: len(columns)])
+
+    return map_iterators(df, run, _WINDOW + (", size int" if size else ""))
 
 
 def occurrence(met: Iterable[tuple[int, list[int], list[int]]], size: int, window: int) -> tuple[int, int, int]:
@@ -266,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.save(_explode(own_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("owner"), "text"), rules, None, None), "items")
     short = sorted(r["size"] for r in items.where(F.col("size") < rules.window).select("size").distinct().collect())
-    known = docs.sparkSession.sparkContext.broadcast(_bit_map(items)).value
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(items, "h"))
     ours = _explode(own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("owner"), "text"), rules, known, short)
     item_side = items.select(F.col("owner").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "size", F.col("exact").alias("item_exact")).distinct()
     met = ours.select(F.col("owner").alias("doc_id"), "at", "h", "slots", "exact").join(item_side, "h").where("exact = item_exact")
@@ -283,13 +274,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             measured = []
-            for met, size in zip(batch.column("met").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                measured.append(occurrence([(m["item_at"], m["item_slots"], m["slots"]) for m in met], size, window))
+            for met, size in zip(batch.column("met"), batch.column("size").to_pylist(), strict=True):  # one occurrence's windows at a time
+                measured.append(occurrence([(m["item_at"], m["item_slots"], m["slots"]) for m in met.as_py()], size, window))
             columns = [pa.array(c, pa.int32()) for c in zip(*measured, strict=True)] if measured else [pa.array([], pa.int32())] * 3
             kept = [batch.column(c) for c in ("doc_id", "item_id", "size")]
             yield pa.RecordBatch.from_arrays([*kept[:2], *columns[:2], kept[2], columns[2]], names=["doc_id", "item_id", "covered", "longest_run", "size", "changed_slots"])
 
-    measured = found.select("doc_id", "item_id", "size", "met").mapInArrow(run, "doc_id long, item_id long, covered int, longest_run int, size int, changed_slots int")
+    measured = map_iterators(found.select("doc_id", "item_id", "size", "met"), run, "doc_id long, item_id long, covered int, longest_run int, size int, changed_slots int")
     best = F.struct("covered", "longest_run", -F.col("changed_slots"))
     return (
         measured.where((F.col("covered") >= rules.cover * F.col("size")) | (F.col("longest_run") >= rules.least_run))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from pagelog.llm.common import own_columns
+from pagelog.llm.common import map_iterators, own_columns
 from pagelog.llm.words import strides
 
 WINDOW = 32
@@ -223,7 +223,7 @@ def fingerprint_documents(docs: DataFrame, chunking: Chunking = Chunking(), rows
             for a, b in strides([len(t) + len(f) for _, t, f in pairs]):
                 yield _fingerprints(pairs[a:b], chunking)
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return map_iterators(ordered, run, SCHEMA)
 
 
 def pd_series(values: np.ndarray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelog.llm.common import Scratch, own_columns
+from pagelog.llm.common import Scratch, map_iterators, own_columns
 from pagelog.llm.tokens import ByteBpe
 
 LENGTH, END = 2048, 0
@@ -46,13 +46,15 @@ class Evolution:
 # -- documents to pieces
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of docs(doc_id, text): the tokens with the end token,
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text): the tokens with the end token,
     cut only if there are more than length; then all pieces but the first are full.
 
     A null text is empty: its only token is the end token. ids is little-endian unsigned 32-bit.
     """
 
+    columns = 6 if with_ids else 5
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(tokenizer_path)
         last = int(end).to_bytes(4, "little")
@@ -65,12 +67,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
                 edges = [0, *range(first, n + 1, length)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     part = ids[4 * a : 4 * b]
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(part), part))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(part), part)[:columns])
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][:columns]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:columns])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return map_iterators(own_columns(docs, "doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 # -- one block
@@ -329,5 +331,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, h
     which gives them again at any time.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
-    pieces = scratch.save(tokenize_pieces(docs, tokenizer_path, length).drop("ids").withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = scratch.save(tokenize_pieces(docs, tokenizer_path, length, with_ids=False).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, length, how).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -271,7 +271,7 @@ def scan_pii(docs: DataFrame) -> DataFrame:
             names=["doc_id", "kind", "start", "end", "base"],
         )
 
-    return map_batches(own_columns(docs, "doc_id", "text"), run, SCHEMA)
+    return map_batches(own_columns(docs, "doc_id", "text"), run, SCHEMA, held)
 
 
 def redact(text: str, spans: list[Span], mark: str = "[{kind}]") -> str:

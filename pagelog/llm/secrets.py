@@ -102,7 +102,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
             names=["doc_id", "kind", "start", "end"],
         )
 
-    return map_batches(own_columns(docs, "doc_id", "text"), run, SCHEMA)
+    return map_batches(own_columns(docs, "doc_id", "text"), run, SCHEMA, held)
 
 
 def span_digest(spans: list[tuple[str, int, int]]) -> str:

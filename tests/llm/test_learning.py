@@ -192,6 +192,32 @@ def test_network_learns_stems():
     assert toxicity.train(["a"], [1]) is None and toxicity.train([], []) is None
 
 
+def test_forward_pass_by_plain_loops():
+    """Embeddings, filters, pooling and the output layer against loops over single words and windows."""
+    rows = toxic_rows(200, 3)
+    net = toxicity.train([r[1] for r in rows], [r[3] for r in rows], toxicity.Settings(epochs=1, least_steps=5))
+    texts = [r[1] for r in rows[:10]] + ["", "one", "one two", "x" * 150, rows[3][1] * 3]
+    logits, languages = toxicity.Scorer(net, keep=50).logits(texts)
+    f = net.settings.filters
+    for text, logit, language in zip(texts, logits, languages, strict=True):
+        vectors = []
+        counts = [0] * len(toxicity.FUNCTION_WORDS)
+        for w in toxicity.split_words(text):
+            buckets, offsets = toxicity.word_grams([w], net.settings.buckets)
+            assert offsets.tolist() == [0, len(buckets)]
+            vectors.append(sum(net.table[b].astype(np.float64) for b in buckets) / len(buckets))
+            for k, words_ in enumerate(toxicity.FUNCTION_WORDS.values()):
+                counts[k] += w.decode(errors="replace") in words_.split()
+        expected = net.shift
+        for c, kernel in enumerate(net.kernels):
+            w = len(kernel)
+            for j in range(f):
+                windows = [sum(float(vectors[a + b] @ kernel[b][:, j]) for b in range(w)) for a in range(len(vectors) - w + 1)]
+                expected += max(max(windows, default=0.0) + float(net.bias[c * f + j]), 0.0) * float(net.out[c * f + j])
+        assert abs(expected - logit) < 1e-3 * max(1, abs(expected)), text[:40]
+        assert language == (counts.index(max(counts)) if max(counts) else len(counts))
+
+
 def test_whole_words_are_read():
     """Long words come in pieces that keep every n-gram; signs beyond ASCII part words."""
     assert toxicity.split_words("Eins\u00a0zwei\u3001drei\u2026vier\u300cf\u00fcnf\u300d a-b") == ["eins".encode(), b"zwei", b"drei", b"vier", "f\u00fcnf".encode(), b"a", b"b"]
@@ -210,7 +236,7 @@ def test_whole_words_are_read():
 
 def test_score_query(spark):
     rows = toxic_rows(600, 2)
-    docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, t, lang, _ in rows] + [(None, "the end", "en", "s", 1), (9999, None, None, None, None), (9998, "", "en", "s", 0)], DOCS)
+    docs = spark.createDataFrame([(k, t, lang, "s", len(t), 0.5, True) for k, t, lang, _ in rows] + [(None, "the end", "en", "s", 1, 0.5, True), (9999, None, None, None, None, None, None), (9998, "", "en", "s", 0, 0.5, True)], DOCS + ", score double, held_out boolean")
     labels = spark.createDataFrame([(k, 1, y) for k, _, _, y in rows] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
     assert len(got) == 603
