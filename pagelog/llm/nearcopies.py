@@ -4,8 +4,8 @@ Two texts are near copies if the sets of their five-word shingles have a Jaccard
 most such pairs differ in more fingerprint bits than probes can reach. Candidates share a band of min-hashes;
 a pair of similarity 0.8 shares none of the bands with probability (1 - 0.8 ** ROWS) ** BANDS, about 0.00007.
 Every candidate is verified on the whole sets. First each text is held against one other of its buckets, the
-same for most of a large group, which collapses it; then, where a bucket still holds several groups, texts
-of different groups are held against each other.
+same for most of a large group, which collapses it; then texts in buckets that still hold several groups
+are joined exactly, by their rarest shingles, so families that share much but not enough make no pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelog.llm.common import Scratch, map_batches, own_columns, texts_of
+from pagelog.llm.common import Scratch, bit_map, map_batches, maybe_in, own_columns, texts_of
 from pagelog.llm.graph import components
 from pagelog.llm.simhash import DISTANCE, SEED, fingerprint, links
 from pagelog.llm.words import WordTable, strides
@@ -98,28 +98,56 @@ def described(docs: DataFrame) -> DataFrame:
             names=["doc_id", "fp", "node", "size", "bands"],
         )
 
-    return map_batches(own_columns(docs, "doc_id", "text"), run, "doc_id long, fp long, node long, size int, bands array<long>")
+    return map_batches(own_columns(docs, "doc_id", "text"), run, "doc_id long, fp long, node long, size int, bands array<long>", held)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the texts whose nodes are wanted(node). The sets are made anew from the texts, which take
-    less room than sets that wait."""
+    less room than sets that wait; only those in a bit map of fixed size leave their task."""
     held: list[Shingles] = []
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "node"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
             held.append(Shingles())
-        texts, sets = texts_of(batch), []
+        texts, nodes, sets = texts_of(batch), [], []
         for a, b in strides([len(t) for t in texts]):
-            sets += held[0](texts[a:b])
-        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), lists], names=["node", "shingles"])
-
-    made = map_batches(own_columns(docs, "text"), run, "node long, shingles array<long>")
+            made = held[0](texts[a:b])
+            own = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in made], dtype=np.uint64)
+            at = np.flatnonzero(maybe_in(known.value, own))
+            nodes.append(own[at])
+            sets += [made[k] for k in at.tolist()]
+        values = np.concatenate(sets).astype(np.int64) if sets else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).astype(np.int64)), lists], names=["node", "shingles"])
+
+    made = map_batches(own_columns(docs, "text"), run, "node long, shingles array<long>", held)
     return made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
+    """(u, v) of nodes(node, size, c) of different groups c that may be alike enough, by their rarest shingles.
+
+    With all shingles ordered by how many nodes have them, rarest first, two sets of similarity s share one of the
+    first size - s * size + 1 shingles of the larger and the first size - 2 s / (1 + s) * size + 1 of the smaller.
+    So texts that have much in common with all others of a family, and enough of their own, meet nobody. Of a
+    shingle's nodes those of its largest group don't meet each other."""
+    tokens = sets.join(nodes, "node").select("node", "size", "c", F.explode("shingles").alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = tokens.join(spread, "token").groupBy("node").agg(F.first("size").alias("size"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    first = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1).cast("int")
+    rows = ranked.select("node", "size", "c", first(2 * least / (1 + least)).alias("q"), F.posexplode(F.slice("t", F.lit(1), first(least))).alias("at", "s"))
+    rows = scratch.save(rows.where("s.n > 1").select(F.col("s.token").alias("token"), "node", "size", "c", (F.col("at") < F.col("q")).alias("indexed")), "prefixes")
+    counted = rows.groupBy("token", "c").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("token", "largest")
+    mixed = scratch.save(rows.join(largest, "token").withColumn("outside", F.col("c") != F.col("largest")), "mixed_tokens")
+    other = mixed.select("token", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("c").alias("y_c"), F.col("outside").alias("y_outside")).where(F.col("indexed"))
+    larger = (F.col("size") > F.col("y_size")) | ((F.col("size") == F.col("y_size")) & (F.col("node") > F.col("y")))
+    near = larger & (F.col("y_size") >= least * F.col("size") - 1e-6) & (F.col("c") != F.col("y_c"))
+    met = mixed.join(other.where("y_outside"), "token").where(near).select("node", "y").unionByName(mixed.where("outside").join(other.where("NOT y_outside"), "token").where(near).select("node", "y"))
+    return met.select(F.greatest("node", "y").alias("u"), F.least("node", "y").alias("v")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of pairs(u, v) whose sets(node, shingles) are alike enough."""
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("shingles").alias(name))
@@ -145,13 +173,9 @@ def near_copy_links(each: DataFrame, docs: DataFrame, least: float = LEAST) -> D
     first = scratch.save(verified(stars, sets, least), "first")
     grouped = components(first).withColumnRenamed("component", "c")
     known = members.select("bucket", "node", "size").join(grouped, "node", "left").select("bucket", "node", "size", F.coalesce("c", "node").alias("c"))
-    counted = known.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "largest")
-    mixed = scratch.save(known.join(largest, "bucket"), "mixed")
-    # those outside a bucket's largest group meet all of other groups
-    outside = mixed.where("c <> largest").select("bucket", F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("c").alias("head_c"))
-    met = mixed.join(outside, "bucket").where((F.col("c") != F.col("head_c")) & ((F.col("c") == F.col("largest")) | (F.col("node") > F.col("head"))) & alike)
-    rest = met.select(*ordered).distinct().join(stars, ["u", "v"], "left_anti")
+    several = known.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bucket")
+    nodes = known.join(several, "bucket", "left_semi").select("node", "size", "c").distinct()
+    rest = prefix_pairs(scratch.save(nodes, "mixed"), sets, scratch, least).join(stars, ["u", "v"], "left_anti")
     return first.unionByName(verified(rest, sets, least))
 
 
