@@ -137,13 +137,15 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, scratch: Scratch, least: flo
     ranked = tokens.join(spread, "token").groupBy("node").agg(F.first("size").alias("size"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     first = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1).cast("int")
     rows = ranked.select("node", "size", "c", first(2 * least / (1 + least)).alias("q"), F.posexplode(F.slice("t", F.lit(1), first(least))).alias("at", "s"))
-    rows = scratch.save(rows.where("s.n > 1").select(F.col("s.token").alias("token"), "node", "size", "c", (F.col("at") < F.col("q")).alias("indexed")), "prefixes")
+    rows = scratch.save(rows.where("s.n > 1").select(F.col("s.token").alias("token"), "node", "size", "c", (F.col("size") - F.col("at")).alias("rest"), (F.col("at") < F.col("q")).alias("indexed")), "prefixes")
     counted = rows.groupBy("token", "c").agg(F.count("*").alias("n"))
     largest = counted.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("token", "largest")
     mixed = scratch.save(rows.join(largest, "token").withColumn("outside", F.col("c") != F.col("largest")), "mixed_tokens")
-    other = mixed.select("token", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("c").alias("y_c"), F.col("outside").alias("y_outside")).where(F.col("indexed"))
+    other = mixed.select("token", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("c").alias("y_c"), F.col("rest").alias("y_rest"), F.col("outside").alias("y_outside")).where(F.col("indexed"))
     larger = (F.col("size") > F.col("y_size")) | ((F.col("size") == F.col("y_size")) & (F.col("node") > F.col("y")))
-    near = larger & (F.col("y_size") >= least * F.col("size") - 1e-6) & (F.col("c") != F.col("y_c"))
+    # from the first shingle that both have, what is left of either bounds what they share
+    enough = F.least("rest", "y_rest") >= least / (1 + least) * (F.col("size") + F.col("y_size")) - 1e-6
+    near = larger & enough & (F.col("y_size") >= least * F.col("size") - 1e-6) & (F.col("c") != F.col("y_c"))
     met = mixed.join(other.where("y_outside"), "token").where(near).select("node", "y").unionByName(mixed.where("outside").join(other.where("NOT y_outside"), "token").where(near).select("node", "y"))
     return met.select(F.greatest("node", "y").alias("u"), F.least("node", "y").alias("v")).distinct()
 
