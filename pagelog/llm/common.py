@@ -56,8 +56,8 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/pagelog-{label}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").options(**options).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

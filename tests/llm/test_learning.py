@@ -264,6 +264,22 @@ def test_overlong_training_text(spark):
     assert len(texts) == sum(zlib.crc32(str(k).encode()) % 3 != 1 and k % 7 != 0 for k in range(60))
 
 
+def test_all_labelled_rows_are_learnt(spark):
+    """Beyond the bounds of one process tasks learn from all rows: a stem outside of its sample is known, thresholds are of all."""
+    rows = toxic_rows(1600, 5)
+    settings = toxicity.Settings(most_rows=80)
+    first = {t for t in toxicity.training_rows(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"), settings)[0]}
+    rare = [(k, t + " zwyrkiness zwyrkily zwyrked", g, 1) if t not in first and k % 4 == 0 else (k, t, g, y) for k, t, g, y in rows]
+    docs = spark.createDataFrame([r[:2] for r in rare], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rare], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels, settings).collect()}
+    held = [(got[k]["predicted"], "zwyrked" in t) for k, t, _, y in rare if got[k]["held_out"] and (y == 0 or "zwyrked" in t)]
+    assert len(got) == len(rows) and np.mean([p == 1 for p, z in held if z]) > 0.9 and np.mean([p == 0 for p, z in held if not z]) > 0.9
+    # a label that only an overlong text has is not lost
+    only = toxicity.learn(docs, labels.withColumn("toxic", (labels["doc_id"] == min(k for k, *_ in rows if not got[k]["held_out"])).cast("int")), toxicity.Settings(most_chars=10))
+    assert only is not None
+
+
 @pytest.mark.skipif(not os.path.isdir(SF1), reason="no test data")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "labels"))
